@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_bpe
+from . import op2_bpe, op7_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_bpe.op2_byte_bpe,
+    "op7_packing": op7_packing.op7_packing,
 }
 
 ORACLES: dict[str, str] = {}
