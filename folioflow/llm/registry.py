@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_bpe, op7_packing
+from . import op2_bpe, op7_packing, op9_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_bpe.op2_byte_bpe,
     "op7_packing": op7_packing.op7_packing,
+    "op9_line_dedup": op9_lines.op9_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": op9_lines.ORACLE,
+}
