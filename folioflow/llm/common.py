@@ -65,6 +65,23 @@ def text_key():
     return F.coalesce(F.xxhash64(F.lit(11), F.col("text")), F.lit(0))
 
 
+#: A key counts as hot if more than one row in so many has it, so fewer keys than this are hot.
+HOT_SHARE = 1024
+
+
+def join_by_key(facts: DataFrame, dims: DataFrame, key: str, total: int) -> DataFrame:
+    """``facts`` inner-joined with ``dims``, one row a key, whose column ``n`` says how many facts have the key.
+
+    ``total`` is the number of facts. The rows of hot keys are joined where they are, by a broadcast of
+    fewer than ``HOT_SHARE`` rows whatever the input; only the others are shuffled. ``n`` is dropped.
+    """
+    is_hot = F.col("n") * HOT_SHARE > total
+    hot = F.broadcast(dims.where(is_hot).drop("n"))
+    rest = facts.join(hot.select(key), key, "left_anti").join(dims.where(~is_hot).drop("n"), key)
+    joined = facts.join(hot, key)
+    return joined.unionByName(rest.select(*joined.columns))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges (a, b)`` by alternating large-star and small-star steps.
 
