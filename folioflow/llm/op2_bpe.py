@@ -20,7 +20,7 @@ from . import common
 
 #: White space as Unicode's White_Space property has it, which Python's ``\s`` exceeds by four control characters.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Chunks remembered by a worker.
+#: Chunks, and beside them pre-tokens, remembered by a worker; once as many are known no more are added.
 REMEMBERED = 200_000
 
 
@@ -96,7 +96,7 @@ class Codec:
     def _encode_words(self, words: list[str]) -> list[str]:
         """Ids of pre-tokens, as decimal numbers joined by spaces."""
         mapped = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table) for w in words]
-        return [" ".join(map(str, ids)) for ids in self.model.encode(mapped)]
+        return [" ".join(map(str, ids)) for ids in self.model.encode(mapped, num_threads=1)]  # threads cost more than words
 
     def _learn(self, chunks: list[str]) -> dict[str, str | None]:
         """Ids of chunks that were not remembered; None for one that white space ties to its neighbours."""
@@ -105,9 +105,8 @@ class Codec:
         found = dict(zip(new, self._encode_words(new))) if new else {}
         known = self.words
         out = {c: None if ws is None else " ".join([found[w] if w in found else known[w] for w in ws]) for c, ws in split.items()}
-        if len(known) + len(found) > self.remembered:
-            known.clear()
-        known.update(found)
+        if len(known) < self.remembered:
+            known.update(found)
         return out
 
     def encode(self, text: str) -> str:
@@ -125,9 +124,8 @@ class Codec:
         if 0 in found:
             learnt = self._learn(list(dict.fromkeys(x for x, y in zip(parts, found) if y == 0)))
             found = [learnt[x] if y == 0 else y for x, y in zip(parts, found)]
-            if len(known) + len(learnt) > self.remembered:
-                known.clear()
-            known.update(learnt)
+            if len(known) < self.remembered:
+                known.update(learnt)
         if None in found or not first:
             words = self.pretokens(text)
             return " ".join(self._encode_words(words))
