@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_bpe, op3_simhash, op5_urls, op7_packing, op8_warc, op9_lines
+from . import op1_quality, op2_bpe, op3_simhash, op5_urls, op7_packing, op8_warc, op9_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality.op1_quality,
     "op2_byte_bpe": op2_bpe.op2_byte_bpe,
     "op3_simhash": op3_simhash.op3_simhash,
     "op5_url_filter": op5_urls.op5_url_filter,
