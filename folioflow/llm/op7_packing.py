@@ -11,6 +11,7 @@ whose remainder is dealt into sequences of descending powers of two, which need
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,17 +21,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
+from .op2_bpe import byte_characters
 
 WINDOW = 4096
 END_ID = 2
 #: Tokens of a shard, give or take one document.
 SHARD_TOKENS = 1 << 21
-#: Documents whose unknown words are encoded in one call.
-GROUP = 128
+#: Documents whose unknown words are encoded in one call; few, so that their words stay in the cache.
+GROUP = 16
 #: Words remembered by a worker; once as many are known no more are added.
 REMEMBERED = 300_000
+#: Unknown words that go through the tokenizer together; its time a word grows with the length of a text.
+JOINED = 64
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
+#: Composed Latin-1 letters in lower case, then perhaps ASCII punctuation other than an apostrophe: two pre-tokens at most.
+LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 class WordEncoder:
@@ -43,8 +49,13 @@ class WordEncoder:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        # words of plain letters need no normalisation: the same merges on their bytes' characters
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = None, WhitespaceSplit()
+        self.shown = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
         self.known: dict[str, bytes] = {}
         self.remembered = remembered
         single = [(c, ids[0]) for c in "♥★☀☺♪•" if len(ids := self._ids(c)) == 1 and self._ids(f"x {c} y") == [*self._ids("x"), ids[0], *self._ids("y")]]
@@ -53,37 +64,70 @@ class WordEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        alone = [w for w in words if self.separator is None or self.separator in w]
-        rest = [w for w in words if self.separator is not None and self.separator not in w]
-        found = {w: np.array(self._ids(w), "<u4").tobytes() for w in alone}
-        for k in range(0, len(rest), 4096):
-            part = rest[k : k + 4096]
-            ids = np.array(self._ids(f" {self.separator} ".join(part)), "<u4")
+    def _joined(self, tokenizer, words: list[str], separator: str | None) -> list[bytes]:
+        """Ids of words that hold no separator, many in one call."""
+        found: list[bytes] = []
+        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        encodings = tokenizer.encode_batch_fast([f" {separator} ".join(g) for g in groups], add_special_tokens=False) if separator and groups else [None] * len(groups)
+        for part, encoding in zip(groups, encodings):
+            ids = np.array(encoding.ids if encoding else [], "<u4")
             ends = np.flatnonzero(ids == self.separator_id).tolist()
             if len(ends) != len(part) - 1:
-                found |= {w: np.array(self._ids(w), "<u4").tobytes() for w in part}
+                found += [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in part]
+                continue
+            raw, s = ids.tobytes(), 0
+            for e in [*ends, len(ids)]:
+                found.append(raw[4 * s : 4 * e])
+                s = e + 1
+        return found
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words not known. Letters, and punctuation after them, are pre-tokens of their own."""
+        known, parts, letters, others = self.known, [], set(), set()
+        for w in words:
+            m = LETTERS(w.lower())
+            if m is None:
+                others.add(w)
                 continue
-            raw = ids.tobytes()
-            found |= {w: raw[4 * a : 4 * b] for w, a, b in zip(part, [0, *(e + 1 for e in ends)], [*ends, len(ids)])}
+            a, b = m.groups()
+            parts.append((w, a, b))
+            if a not in known:
+                letters.add(a)
+            if b and b not in known:
+                others.add(b)
+        found = {w: np.array(self._ids(w), "<u4").tobytes() for w in others if self.separator is None or self.separator in w}
+        rest, letters = [w for w in others if w not in found], list(letters)
+        found |= zip(rest, self._joined(self.tokenizer, rest, self.separator))
+        mapped = "\n".join(letters).encode().decode("latin-1").translate(self.shown).split(self.shown[10]) if letters else []
+        separator = self.separator and self.separator.encode().decode("latin-1").translate(self.shown)
+        found |= zip(letters, self._joined(self.merges, mapped, separator))
+        for w, a, b in parts:
+            if b:
+                found[w] = (known.get(a) or found[a]) + (known.get(b) or found[b])
+            elif a != w or w not in found:
+                found[w] = known.get(a) or found[a]
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known, split = self.known, []
+        known, out, open_, new = self.known, [], [], set()
         for text in texts:
             text = text or ""
             if text.isascii() and "<|" not in text:
                 text = text.lower()
-            split.append(text.replace("\n", " ").split(" "))
-        new = list({w for words in split for w in words if w not in known})
-        fresh = self._learn(new) if new else {}
-        room = self.remembered - len(known)
-        if room > 0:
-            for w in new[:room]:
-                known[w] = fresh[w]
-        if not new:
-            return [b"".join([known[w] for w in words]) for words in split]
-        return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in split]
+            words = text.replace("\n", " ").split(" ")
+            found = list(map(known.get, words))
+            try:
+                out.append(b"".join(found))
+            except TypeError:  # a word is not known
+                new.update([w for w, ids in zip(words, found) if ids is None])
+                open_.append((len(out), words, found))
+                out.append(b"")
+        fresh = self._learn(list(new)) if new else {}
+        if len(known) < self.remembered:
+            known.update(fresh)
+        for k, words, found in open_:
+            out[k] = b"".join([fresh[w] if ids is None else ids for w, ids in zip(words, found)])
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
