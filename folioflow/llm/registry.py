@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op2_bpe, op3_simhash, op5_urls, op7_packing, op8_warc, op9_lines
+from . import op1_quality, op10_toxicity, op2_bpe, op3_simhash, op5_urls, op7_packing, op8_warc, op9_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing.op7_packing,
     "op8_warc": op8_warc.op8_warc,
     "op9_line_dedup": op9_lines.op9_line_dedup,
+    "op10_toxicity": op10_toxicity.op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
