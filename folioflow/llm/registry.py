@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op10_toxicity, op2_bpe, op3_simhash, op5_urls, op7_packing, op8_warc, op9_lines
+from . import op1_quality, op10_toxicity, op2_bpe, op3_simhash, op5_urls, op6_hnsw, op7_packing, op8_warc, op9_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality.op1_quality,
     "op2_byte_bpe": op2_bpe.op2_byte_bpe,
     "op3_simhash": op3_simhash.op3_simhash,
     "op5_url_filter": op5_urls.op5_url_filter,
+    "op6_embeddings": op6_hnsw.op6_embeddings,
     "op7_packing": op7_packing.op7_packing,
     "op8_warc": op8_warc.op8_warc,
     "op9_line_dedup": op9_lines.op9_line_dedup,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_embeddings": op6_hnsw.ORACLE,
     "op8_warc": op8_warc.ORACLE,
     "op9_line_dedup": op9_lines.ORACLE,
 }
