@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op10_toxicity, op2_bpe, op3_simhash, op5_urls, op6_hnsw, op7_packing, op8_warc, op9_lines
+from . import op1_quality, op10_toxicity, op2_bpe, op3_simhash, op4_suffixes, op5_urls, op6_hnsw, op7_packing, op8_warc, op9_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality.op1_quality,
     "op2_byte_bpe": op2_bpe.op2_byte_bpe,
     "op3_simhash": op3_simhash.op3_simhash,
+    "op4_suffix_dedup": op4_suffixes.op4_suffix_dedup,
     "op5_url_filter": op5_urls.op5_url_filter,
     "op6_embeddings": op6_hnsw.op6_embeddings,
     "op7_packing": op7_packing.op7_packing,
