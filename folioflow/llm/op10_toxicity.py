@@ -302,6 +302,19 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
 
+def drop_toxic(docs: DataFrame, machine: Machine, cutoff: float = 0.5) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose text scores below ``cutoff``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            clean = [machine.score(x) < cutoff for k in range(0, batch.num_rows, 128) for x in machine.worst(texts.slice(k, 128).to_pylist())]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs (doc_id, text)``.
 
