@@ -40,10 +40,10 @@ LENGTH = 200
 MODULUS, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Bytes of the parts of the screen.
 PART = 120
-#: Bytes of a block, give or take a document.
-BLOCK = 1 << 20
+#: Bytes of a block, give or take a document; a task holds some ten arrays of eight times as many.
+BLOCK = 1 << 18
 #: Buckets of hashes for each shuffle partition.
-BUCKETS = 8
+BUCKETS = 4
 
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -213,8 +213,8 @@ def split(b: Bytes, candidate: np.ndarray, block: int, buckets: int, rows: dict[
     key, _, place, counts = names(b, at, block, buckets)
     again, open_ = _answers(key, rows, 2)
     again |= counts > 1
-    repeated = _through(at[again[place]], b)
-    return repeated, _through(at[open_[place]], b) & candidate & (b.left >= LENGTH)
+    whole = b.left >= LENGTH
+    return _through(at[again[place]], b) & whole, _through(at[open_[place]], b) & candidate & whole
 
 
 # 3. merge
