@@ -1,33 +1,4 @@
-"""The engine's registered queries and the SQL that says what each must return."""
+"""All registered queries: importing this module files them."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, oracle: str | None = None):
-    """Decorator: file a query under ``name`` with its equivalent SQL."""
-
-    def put(function):
-        QUERIES[name] = function
-        if oracle:
-            ORACLES[name] = oracle
-        return function
-
-    return put
-
-
-@register("agg01_status_counts", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus")
-def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
-
-
-QUERIES["agg05_batch_metrics"] = status_counts
-ORACLES["agg05_batch_metrics"] = ORACLES["agg01_status_counts"]
+from . import batch_queries, control_queries, field_queries, page_queries, vendor_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
