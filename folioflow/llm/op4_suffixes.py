@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 from .op8_warc import _open
@@ -42,8 +43,9 @@ MODULUS, COVER = 31, (0, 1, 3, 8, 12, 18)
 PART = 120
 #: Bytes of a block, give or take a document; a task holds some ten arrays of eight times as many.
 BLOCK = 1 << 18
-#: Buckets of hashes for each shuffle partition.
-BUCKETS = 4
+#: Least number of buckets of hashes, and bytes of text for each; the number follows the input, not the
+#: partitions, so that a block sends as many rows at every size until the input outgrows the least number.
+BUCKETS, BUCKET = 64, 1 << 25
 
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -452,7 +454,8 @@ def dedup_suffixes(docs: DataFrame, folder: str | None = None, carry: tuple[str,
     spark = docs.sparkSession
     folder = folder or common.scratch_path(spark, "blocks")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS * parts
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(BUCKETS, -(-total // BUCKET))
 
     def answered(sent: DataFrame, how: Callable, name: str) -> DataFrame:
         dealt = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "block")
