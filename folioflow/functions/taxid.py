@@ -1,9 +1,15 @@
-"""Tax identifiers as column expressions: normal forms, validity, check digit, choice and repair."""
+"""Tax identifiers as column expressions: normal forms, validity, check digit, choice and repair.
+
+Only the search through a repair's variants is Python, in Arrow batches.
+"""
 
 from __future__ import annotations
 
+import re
+from calendar import monthrange
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,17 +105,32 @@ def repaired(raw: Column, name: Column) -> Column:
     shape = r"(?U)([0-9OISBGZD]{6})([A-Z0-9\)\(\s]{2,8})"
     date = F.translate(F.regexp_extract(scope, shape, 1), V.OCR_DIGITS_FROM, V.OCR_DIGITS_TO)
     seen = F.regexp_replace(F.regexp_extract(scope, shape, 2), r"[^A-Z0-9\)\(]", "").substr(1, 3)
-    table = F.create_map(*(F.lit(x) for pair in V.TAIL_CONFUSIONS.items() for x in pair))
-    options = [F.split(F.coalesce(F.try_element_at(table, seen.substr(k, 1)), seen.substr(k, 1)), "") for k in (1, 2, 3)]
-    most = max(map(len, V.TAIL_CONFUSIONS.values()))
-    prefix, tails = person_prefix(name), []
-    for at in product(range(most), repeat=3):
-        letters = [F.get(o, F.lit(i)) for o, i in zip(options, at)]
-        cost = sum((F.when(x == seen.substr(k, 1), 0).otherwise(1) for k, x in enumerate(letters, 1)), F.lit(0))
-        # concat is null past the end of the options
-        tails.append(F.struct(cost.alias("cost"), F.lit(len(tails)).alias("ordinal"), F.concat(prefix, date, *letters).alias("value")))
-    right = F.filter(F.array(*tails), lambda t: t["value"].isNotNull() & acceptable(t["value"]) & check_digit_is_right(t["value"]))
-    return F.when(date.rlike(r"^\d{6}$") & (F.length(seen) == 3), F.array_min(right)["value"])
+    date = F.when(date.rlike(r"^\d{6}$") & (F.length(seen) == 3), date)
+
+    @F.pandas_udf("string")
+    def best(prefixes: pd.Series, dates: pd.Series, tails: pd.Series) -> pd.Series:
+        return pd.Series([_best_tail(p, d, t) for p, d, t in zip(prefixes, dates, tails)], dtype=object)
+
+    return best(person_prefix(name), date, seen)
+
+
+def _best_tail(prefix: str | None, date: str | None, seen: str | None) -> str | None:
+    """The repaired identifier with the fewest changes to the three characters seen, the first of equals."""
+    if not prefix or not date or not seen:
+        return None
+    options = sorted(product(*(V.TAIL_CONFUSIONS.get(c, c) for c in seen)), key=lambda tail: sum(map(str.__ne__, tail, seen)))
+    return next((whole for tail in options if _checks_out(whole := prefix + date + "".join(tail))), None)
+
+
+def _checks_out(token: str) -> bool:
+    """Shape, date and check digit of a person's identifier."""
+    if not re.fullmatch("[A-ZÑ&]{4}[0-9]{6}[A-Z0-9]{3}", token):
+        return False
+    yy, month, day = (int(token[i : i + 2]) for i in (4, 6, 8))
+    if month not in range(1, 13) or day not in range(1, monthrange(1900 + yy if yy >= 30 else 2000 + yy, month)[1] + 1):
+        return False
+    weighted = sum(V.TAX_ALPHABET.index(c) * w for c, w in zip(token, range(13, 1, -1)))
+    return token[-1] == {11: "0", 10: "A"}.get(rest := 11 - weighted % 11, str(rest))
 
 
 def hint_in(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import doctype, fields, quality
+from ..session import settled
 from . import vendors as suppliers
 
 
@@ -25,7 +26,7 @@ def parsed(documents: DataFrame) -> DataFrame:
 def completed(rows: DataFrame, vendors: DataFrame) -> DataFrame:
     """Gaps filled by the supplier dimension; where both fields are empty, by what the path says."""
     keys = rows.select("id", "rfc", "nombre_proveedor")
-    filled = suppliers.filled(keys, vendors)
+    filled = settled(suppliers.filled(keys, vendors))
     empty = filled.where("rfc IS NULL AND nombre_proveedor IS NULL").join(rows.select("id", "file_path"), "id")
     paths = suppliers.from_paths(empty.select(F.col("id").alias("key"), F.col("file_path").alias("path")), vendors)
     paths = paths.select(F.col("key").alias("id"), F.col("rfc").alias("__rfc"), F.col("nombre_proveedor").alias("__name"))
@@ -34,13 +35,18 @@ def completed(rows: DataFrame, vendors: DataFrame) -> DataFrame:
 
 
 def processed(documents: DataFrame, vendors: DataFrame, as_of_year: int) -> DataFrame:
-    """``id, status, error_category``, the four fields and the quality of each document; without text a document fails."""
-    done = completed(parsed(documents), vendors)
+    """``id, status, error_category``, the four fields and the quality of each document; without text a document fails.
+
+    Several joins read the parsed fields, the suppliers and the filled keys, so these are checkpointed; texts are
+    parsed once and not kept.
+    """
+    empty = F.btrim(F.coalesce("raw_text", F.lit(""))) == ""
+    rows = parsed(documents).withColumn("empty", empty).drop("raw_text", "rfc_hint", "fecha_hint")
+    done = completed(settled(rows), settled(vendors))
     q = quality.scored(F.col("rfc"), F.col("fecha_documento"), F.col("tipo_documento"), F.col("nombre_proveedor"), as_of_year)
     reasons, confidence = quality.stored(F.col("q"))
-    empty = F.btrim(F.coalesce("raw_text", F.lit(""))) == ""
     only = lambda c: F.when(~F.col("empty"), c)
-    return done.withColumns({"q": q, "empty": empty}).select(
+    return done.withColumn("q", q).select(
         "id",
         F.when(F.col("empty"), "failed").otherwise("processed").alias("status"),
         F.when(F.col("empty"), "extraction_empty").alias("error_category"),

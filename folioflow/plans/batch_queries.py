@@ -200,7 +200,7 @@ def histogram_order(spark, sf_dir):
 
 @register(
     "txt25_txt26_ids_and_clock",
-    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey WHEN o_orderkey % 3 = 1 THEN NULL ELSE o_orderkey + 1 END AS id, CASE WHEN floor(o_totalprice) < 3600 THEN lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) % 60 AS VARCHAR), 2, '0') ELSE lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) // 3600 AS VARCHAR), greatest(2, length(CAST(CAST(floor(o_totalprice) AS BIGINT) // 3600 AS VARCHAR))), '0') || ':' || lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) % 60 AS VARCHAR), 2, '0') END AS clock FROM orders",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey WHEN o_orderkey % 3 = 1 THEN NULL ELSE o_orderkey + 1 END AS id, CASE WHEN floor(o_totalprice) < 3600 THEN lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) % 60 AS VARCHAR), 2, '0') ELSE lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) // 3600 AS VARCHAR), CAST(greatest(2, length(CAST(CAST(floor(o_totalprice) AS BIGINT) // 3600 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) % 60 AS VARCHAR), 2, '0') END AS clock FROM orders",
 )
 def ids_and_clock(spark, sf_dir):
     k = F.col("o_orderkey")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "folioflow", **conf: str) -> SparkSession:
@@ -20,3 +20,14 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "folio
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the folder that the cluster names in ``spark.checkpoint.dir``: its plan and lineage end there.
+
+    The folder is set here only where the session leaves it unset, as in local use.
+    """
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(f"file:/tmp/checkpoints/{spark.sparkContext.applicationId}")
+    return df.checkpoint()

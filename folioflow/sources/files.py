@@ -20,7 +20,10 @@ TRUTH = "doc_id string, filename string, source_type string, is_scanned boolean,
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """``match_name, match_size, source_path, source_folder, source_extension, match_seq`` of all files below a folder."""
+    """``match_name, match_size, source_path, source_folder, source_extension, match_seq`` of all files below a folder.
+
+    Empty files are not among them, as Spark's reader leaves them out.
+    """
     meta = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")  # contents are pruned
     path = F.regexp_replace("path", "^file:/*", "/")
     rows = meta.select(
