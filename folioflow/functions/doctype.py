@@ -16,7 +16,7 @@ def _has_any(c: Column, terms) -> Column:
     return out
 
 
-def rule_score(form: Column, some, every, never) -> Column:
+def rule_score(form: Column, first_page: Column, first_lines: Column, some, every, never) -> Column:
     """Score of one rule on a text in type form; null where a gate fails."""
     gate = F.lit(True)
     if some:
@@ -26,18 +26,24 @@ def rule_score(form: Column, some, every, never) -> Column:
     if never:
         gate = gate & ~_has_any(form, never)
     lead = some or every
-    first = form.substr(1, V.FIRST_PAGE)
     score = F.lit(10 + 10 * len(every)) + sum((F.when(form.contains(t), 8).otherwise(0) for t in some), F.lit(0))
-    score = score + F.when(_has_any(first, lead), 35).otherwise(0) + F.when(_has_any(form.substr(1, V.FIRST_LINES), lead), 15).otherwise(0)
+    score = score + F.when(_has_any(first_page, lead), 35).otherwise(0) + F.when(_has_any(first_lines, lead), 15).otherwise(0)
     return F.when(gate, score)
 
 
 def document_type(text: Column, rules=V.DOCUMENT_TYPES, default: str = V.DEFAULT_TYPE) -> Column:
     """The best rule's name, the first of equals; the default if none fits; null if nothing is left of the text."""
     form = T.type_form(F.coalesce(text, F.lit("")))
-    ranked = [F.struct(rule_score(form, *rule[1:]).alias("score"), F.lit(-k).alias("rank"), F.lit(rule[0]).alias("name")) for k, rule in enumerate(rules)]
-    best = F.array_max(F.filter(F.array(*ranked), lambda r: r["score"].isNotNull()))
-    return F.when(form != "", F.coalesce(best["name"], F.lit(default)))
+
+    def best(x: Column) -> Column:
+        parts = (x["form"], x["page"], x["lines"])
+        ranked = [F.struct(rule_score(*parts, *rule[1:]).alias("score"), F.lit(-k).alias("rank"), F.lit(rule[0]).alias("name")) for k, rule in enumerate(rules)]
+        name = F.array_max(F.filter(F.array(*ranked), lambda r: r["score"].isNotNull()))["name"]
+        return F.when(x["form"] != "", F.coalesce(name, F.lit(default)))
+
+    # bound by lambdas, as each rule would else compute the form anew for each of its terms
+    forms = F.transform(F.array(form), lambda f: F.struct(f.alias("form"), f.substr(1, V.FIRST_PAGE).alias("page"), f.substr(1, V.FIRST_LINES).alias("lines")))
+    return F.transform(forms, best)[0]
 
 
 def rules_table(spark, rules=V.DOCUMENT_TYPES):
