@@ -1,11 +1,12 @@
 """Quality rules whose cutoffs carry a guarantee.
 
-A rule rejects a document when one of its measures reaches a cutoff. For each stratum and rule,
-cutoffs are proposed from one half of the labelled documents and certified on the other half, the
-holdout: the exact (Clopper-Pearson) upper bound on the share of good documents that the rule rejects
-has to stay within the rule's part of the allowed false rejection. All certificates hold together
-with the stated confidence, as each gets its share of the error (Bonferroni over strata, rules and
-proposals). A rule that can't be certified in a stratum, as where few labels are, rejects nothing there.
+A rule rejects a document when one of its measures reaches a cutoff. For each stratum, one half of
+the labelled documents proposes a cutoff for each measure, where it pays; the other half, the holdout,
+certifies what all rules of the stratum reject together: the exact (Clopper-Pearson) upper bound on the
+share of good documents rejected has to stay within the allowed one. Where it does not, the rule of
+least gain is left out and the rest is tried again. All certificates hold together with the stated
+confidence, as each trial in each stratum gets its share of the error (Bonferroni). A stratum where
+nothing can be certified, as where few labels are, rejects nothing.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from . import common
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Share of good documents of a stratum that all rules together may reject, and the chance that this fails somewhere.
+#: Share of good documents of a stratum that its rules together may reject, and the chance that this fails somewhere.
 ALPHA, DELTA = 0.02, 0.05
 #: Measures are counted in so many steps from 0 to 1; cutoffs are their edges.
 STEPS = 100
-#: Proposals for each stratum and rule, and what rejecting a good document costs against the gain of a bad one.
-PROPOSALS, COST = 4, 20.0
+#: What rejecting a good document costs against the gain of a bad one.
+COST = 20.0
 #: Marks beyond plain punctuation, and all ASCII characters that are no letters.
 MARKS = "!?#*$%&|<>^~=+@"
 NOT_LETTERS = "".join(chr(c) for c in range(128) if not chr(c).isalpha())
@@ -106,50 +107,65 @@ def certified(k: int, n: int, share: float, delta: float) -> bool:
 
 
 class Cutoff(NamedTuple):
-    """A certified rule: documents of the stratum with a measure of at least ``cutoff`` are rejected."""
+    """A rule: documents of the stratum with a measure of at least ``cutoff`` are rejected."""
 
     stratum: str | None
     measure: str
     cutoff: float
-    rejected_good: int
-    good: int
-    rejected_bad: int
-    bad: int
 
 
-def select_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> list[Cutoff]:
-    """Certified cutoffs from all rows of ``doc_id, stratum, quality`` and the measures.
+def _half() -> Column:
+    """0 for documents that propose, 1 for the holdout."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2))
+
 
-    Rows without a label are left out. What reaches the driver are counts: strata times measures times steps.
+def propose(labelled: DataFrame) -> dict[str | None, list[Cutoff]]:
+    """For each stratum a cutoff by measure from the proposing half, where it pays, those of most gain first.
+
+    What reaches the driver are counts: strata times measures times steps.
     """
-    half = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2))
     steps = F.array(*(F.struct(F.lit(m).alias("measure"), F.floor(F.col(f"m_{m}") * STEPS).cast("int").alias("step")) for m in MEASURES))
     rows = (
-        labelled.where("quality IN (0, 1)")
-        .select("stratum", "quality", half.alias("half"), F.explode(steps).alias("s"))
-        .groupBy("stratum", "quality", "half", "s.measure", "s.step")
+        labelled.where(_half() == 0)
+        .select("stratum", "quality", F.explode(steps).alias("s"))
+        .groupBy("stratum", "quality", "s.measure", "s.step")
         .agg(F.count("*").alias("n"))
         .collect()
     )
     table: dict[tuple, list[int]] = {}
     for r in rows:
-        table.setdefault((r.stratum, r.measure, r.half, r.quality), [0] * (STEPS + 1))[r.step] += r.n
-    strata = sorted({k[0] for k in table}, key=lambda s: (s is not None, s or ""))
-    none, found = [0] * (STEPS + 1), []
-    share, error = alpha / len(MEASURES), delta / max(1, len(strata) * len(MEASURES) * PROPOSALS)
-    for stratum in strata:
+        table.setdefault((r.stratum, r.measure, r.quality), [0] * (STEPS + 1))[r.step] += r.n
+    none, found = [0] * (STEPS + 1), {}
+    for stratum in {k[0] for k in table}:
+        gains = []
         for measure in MEASURES:
-            (tune_bad, tune_good), (hold_bad, hold_good) = ([table.get((stratum, measure, h, q), none) for q in (0, 1)] for h in (0, 1))
-            gain = {c: sum(tune_bad[c:]) - COST * sum(tune_good[c:]) for c in range(1, STEPS + 1)}
-            best = sorted((c for c in gain if gain[c] > 0), key=lambda c: (-gain[c], -c))
-            # cutoffs of equal gain bound an empty stretch: its middle first, then ever stricter gains
-            ties = [c for c in best if gain[c] == gain[best[0]]]
-            proposals = [sorted(ties)[len(ties) // 2], *(c for c in best if gain[c] < gain[best[0]])][:PROPOSALS] if best else []
-            for c in proposals:
-                k, n = sum(hold_good[c:]), sum(hold_good)
-                if certified(k, n, share, error):
-                    found.append(Cutoff(stratum, measure, c / STEPS, k, n, sum(hold_bad[c:]), sum(hold_bad)))
-                    break
+            bad, good = (table.get((stratum, measure, q), none) for q in (0, 1))
+            gain = {c: sum(bad[c:]) - COST * sum(good[c:]) for c in range(1, STEPS + 1)}
+            # cutoffs of equal gain bound an empty stretch; its middle is farthest from either side
+            best = sorted(c for c in gain if gain[c] == max(gain.values()))
+            if gain[best[0]] > 0:
+                gains.append((gain[best[0]], Cutoff(stratum, measure, best[len(best) // 2] / STEPS)))
+        found[stratum] = [c for _, c in sorted(gains, key=lambda x: -x[0])]
+    return found
+
+
+def select_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> list[Cutoff]:
+    """Certified cutoffs from all rows of ``doc_id, stratum, quality`` and the measures; rows without a label are left out."""
+    labelled = labelled.where("quality IN (0, 1)")
+    proposed = propose(labelled)
+    trials = range(len(MEASURES))
+    # trial j leaves out the j rules of least gain
+    sets = [[c for rules in proposed.values() for c in rules[: max(0, len(rules) - j)]] for j in trials]
+    hits = [rejected(cutoffs, F.col("stratum")) for cutoffs in sets]
+    good = F.col("quality") == 1
+    held = labelled.where(_half() == 1).groupBy("stratum").agg(F.count_if(good).alias("n"), *(F.count_if(good & hit).alias(f"k{j}") for j, hit in enumerate(hits)))
+    error, found = delta / max(1, len(proposed) * len(trials)), []
+    for r in held.collect():
+        rules = proposed.get(r.stratum, [])
+        for j in range(len(rules)):
+            if certified(r[f"k{j}"], r.n, alpha, error):
+                found += rules[: len(rules) - j]
+                break
     return found
 
 
