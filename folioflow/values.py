@@ -58,27 +58,24 @@ MONTHS = {
 MONTH_ABBREVIATIONS = {"ene": 1, "feb": 2, "mar": 3, "abr": 4, "may": 5, "jun": 6, "jul": 7, "ago": 8, "sep": 9, "set": 9, "oct": 10, "nov": 11, "dic": 12}
 
 # fixed values: date shapes. Kind of builder, base score and pattern, in order of precedence
-_L = "a-zA-ZáéíóúñÁÉÍÓÚÑ"
-_DAY, _BAR = r"[0-9OILS]{1,2}", r"[\|\[\]!¡,.;:_-]"
-_INTRO = r"(?:siendo\s+el\s+d[ií]a\s+)?"
 NUMERIC_DATES = (
     r"\b(\d{1,2}/\d{1,2}/\d{4})\b", r"\b(\d{1,2}/\d{1,2}/\d{2})\b", r"\b(\d{1,2}-\d{1,2}-\d{4})\b", r"\b(\d{1,2}-\d{1,2}-\d{2})\b",
     r"\b(\d{4}-\d{1,2}-\d{1,2})\b", r"\b(\d{1,2}\.\d{1,2}\.\d{4})\b", r"\b(\d{1,2}\.\d{1,2}\.\d{2})\b",
 )
 TEXTUAL_DATES = (
-    ("strict", 4, rf"(?i)\b{_INTRO}(\d{{1,2}})\s*(?:de)?\s+([a-zA-Záéíóúñ]+)\s*(?:de)?\s+(\d{{4}})\b"),
-    ("strict", 3, rf"(?i)\b{_INTRO}({_DAY})\s*(?:de)?\s*([a-zA-Záéíóúñ]{{3,15}})\s*(?:de)?\s*([0-9OILS]{{4}})\b"),
-    ("strict_number", 5, rf"(?i)\b{_INTRO}({_DAY})\s*de\s*({_DAY})\s*(?:de|del)\s*([0-9OILS]{{4}})\b"),
-    ("flexible", 7, rf"(?i)\b{_INTRO}(\d{{1,2}})\s*(?:de)?\s+([a-zA-Záéíóúñ]+)\s*(?:de)?\s+(\d{{2}})\b"),
-    ("flexible", 7, rf"(?i)\b{_INTRO}({_DAY})\s*(?:de)?\s*([a-zA-Z0-9áéíóúñ]{{3,15}})\s*(?:de)?\s*([0-9OILS]{{2}})\b"),
-    ("flexible_number", 7, rf"(?i)\b{_INTRO}({_DAY})\s*de\s*({_DAY})\s*(?:de|del)\s*([0-9OILS]{{2}})\b"),
-    ("flexible", 8, rf"(?i)\b({_DAY})\s*[/\-\._]?\s*([a-zA-Z0-9áéíóúñ]{{3,10}})\s*[/\-\._]?\s*([0-9OILS]{{2,4}})\b"),
-    ("month_first", 8, rf"(?i)\b([a-zA-Záéíóúñ]{{3,15}})\s+({_DAY})\s*,?\s+([0-9OILS]{{4}})\b"),
-    ("month_first", 8, rf"(?i)\b([a-zA-Z0-9áéíóúñ]{{3,15}})\s+({_DAY})\s*,?\s+([0-9OILS]{{2}})\b"),
-    ("flexible", 14, rf"(?i)\b(?:a\s+los?|los?)\s+({_DAY})\s+d[ií]as?\s+del\s+mes\s+de\s+([a-zA-Z0-9áéíóúñ]{{3,15}})\s+(?:de|del)\s+([0-9OILS]{{2,4}})\b"),
-    ("flexible", 12, rf"(?i)\b(?:siendo\s+el\s+d[ií]a\s*)?({_DAY})\s*{_BAR}*\s*(?:de)?\s+([a-zA-Z0-9áéíóúñ]{{3,15}})\s*{_BAR}*\s*(?:de|del)?\s*([0-9OILS]{{2}}\s*[/\|\[\]!¡,.;:_-]+\s*[0-9OILS]{{2}})\b"),
+    ("strict", 4, r"(?i)\b(?:siendo\s+el\s+d[ií]a\s+)?(\d{1,2})\s*(?:de)?\s+([a-zA-Záéíóúñ]+)\s*(?:de)?\s+(\d{4})\b"),
+    ("strict", 3, r"(?i)\b(?:siendo\s+el\s+d[ií]a\s+)?([0-9OILS]{1,2})\s*(?:de)?\s*([a-zA-Záéíóúñ]{3,15})\s*(?:de)?\s*([0-9OILS]{4})\b"),
+    ("strict_number", 5, r"(?i)\b(?:siendo\s+el\s+d[ií]a\s+)?([0-9OILS]{1,2})\s*de\s*([0-9OILS]{1,2})\s*(?:de|del)\s*([0-9OILS]{4})\b"),
+    ("flexible", 7, r"(?i)\b(?:siendo\s+el\s+d[ií]a\s+)?(\d{1,2})\s*(?:de)?\s+([a-zA-Záéíóúñ]+)\s*(?:de)?\s+(\d{2})\b"),
+    ("flexible", 7, r"(?i)\b(?:siendo\s+el\s+d[ií]a\s+)?([0-9OILS]{1,2})\s*(?:de)?\s*([a-zA-Z0-9áéíóúñ]{3,15})\s*(?:de)?\s*([0-9OILS]{2})\b"),
+    ("flexible_number", 7, r"(?i)\b(?:siendo\s+el\s+d[ií]a\s+)?([0-9OILS]{1,2})\s*de\s*([0-9OILS]{1,2})\s*(?:de|del)\s*([0-9OILS]{2})\b"),
+    ("flexible", 8, r"(?i)\b([0-9OILS]{1,2})\s*[/\-\._]?\s*([a-zA-Z0-9áéíóúñ]{3,10})\s*[/\-\._]?\s*([0-9OILS]{2,4})\b"),
+    ("month_first", 8, r"(?i)\b([a-zA-Záéíóúñ]{3,15})\s+([0-9OILS]{1,2})\s*,?\s+([0-9OILS]{4})\b"),
+    ("month_first", 8, r"(?i)\b([a-zA-Z0-9áéíóúñ]{3,15})\s+([0-9OILS]{1,2})\s*,?\s+([0-9OILS]{2})\b"),
+    ("flexible", 14, r"(?i)\b(?:a\s+los?|los?)\s+([0-9OILS]{1,2})\s+d[ií]as?\s+del\s+mes\s+de\s+([a-zA-Z0-9áéíóúñ]{3,15})\s+(?:de|del)\s+([0-9OILS]{2,4})\b"),
+    ("flexible", 12, r"(?i)\b(?:siendo\s+el\s+d[ií]a\s*)?([0-9OILS]{1,2})\s*[\|\[\]!¡,.;:_-]*\s*(?:de)?\s+([a-zA-Z0-9áéíóúñ]{3,15})\s*[\|\[\]!¡,.;:_-]*\s*(?:de|del)?\s*([0-9OILS]{2}\s*[/\|\[\]!¡,.;:_-]+\s*[0-9OILS]{2})\b"),
 )
-NOISY_DATE = ("flexible", 7, rf"(?i)\b({_DAY})\s*([a-zA-Z]{{3,6}})[0-9OILS]?\s*([0-9OILS]{{2,4}})\b")
+NOISY_DATE = ("flexible", 7, r"(?i)\b([0-9OILS]{1,2})\s*([a-zA-Z]{3,6})[0-9OILS]?\s*([0-9OILS]{2,4})\b")
 SPLIT_YEAR_TAIL = r"(?i)\s*[/\|\[\]!¡,.;:_-]+\s*[0-9OILS]{2}\b"
 LEGAL_CONTEXT = (
     "ley", "leyes", "ley federal", "leyes vigentes", "gobierno", "gubernamental", "estados unidos mexicanos", "diario oficial", "federacion", "secretaria",
