@@ -95,7 +95,7 @@ def captures(pages: DataFrame) -> DataFrame:
     Of equal payloads of at least 100 bytes the smallest ``page_id`` has the response. A null html is an
     empty payload. Repeated rows of one id are one capture each, all of the same type.
     """
-    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    own = pages.where("page_id IS NOT NULL").select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     own = own.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
     large = own.where(F.col("size") >= REVISIT_BYTES).groupBy("digest")
     first = large.agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -250,7 +250,7 @@ def read_archives(wanted: DataFrame, folder: str, with_payload: bool = True) ->
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)][:n], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][:n])
 
     kind = dict(wanted.dtypes)["page_id"]
-    dealt = keyed(wanted.select("page_id", "url")).repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
+    dealt = keyed(wanted.where("page_id IS NOT NULL").select("page_id", "url")).repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
     more = ", payload binary" if with_payload else ""
     return dealt.select("key", "page_id").mapInArrow(run, f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to long{more}")
 
@@ -258,8 +258,8 @@ def read_archives(wanted: DataFrame, folder: str, with_payload: bool = True) ->
 def store_and_read(pages: DataFrame, folder: str) -> DataFrame:
     """Archive every row of ``pages (page_id, url, html)`` under ``folder``, then read each back through the index.
 
-    Null html is an empty payload, null urls have an empty key. Ids must not repeat with different
-    pages; repeated rows are archived as often as they occur and read back as one of them. Other columns
+    Null html is an empty payload, null urls have an empty key, pages without an id are left out. Ids must
+    not repeat with different pages; repeated rows are archived as often as they occur and read back as one of them. Other columns
     are dropped; an empty table gives no rows.
     """
     write_archives(captures(pages), folder)

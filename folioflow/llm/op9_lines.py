@@ -96,7 +96,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A null or empty text is one empty line, never dropped; its ``kept_text`` stays as it was. Lines whose key has
     fewer than ten code points stay. All occurrences in the smallest ``doc_id`` stay, also when rows
-    repeat; rows that share an id count as one document. A document that loses every line keeps an
+    repeat; rows that share an id count as one document; rows without an id lose nothing. A document that loses every line keeps an
     empty text. Other columns are ignored; an empty table gives no rows.
     """
     own = docs.select("doc_id", "text")

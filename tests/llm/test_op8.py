@@ -55,6 +55,8 @@ def test_repeated_rows_and_empty_table(spark, tmp_path):
     one = spark.createDataFrame([(1, "http://a.b/", BIG)] * 3, "page_id long, url string, html string")
     assert {(r.page_id, r.record_type) for r in op.store_and_read(one, f"{tmp_path}/a").collect()} == {(1, "response")}
     assert op.store_and_read(one.where("false"), f"{tmp_path}/b").collect() == []
+    mixed = spark.createDataFrame([(1, "http://a.b/", BIG), (None, "http://a.b/", BIG), (None, None, None)], "page_id long, url string, html string")
+    assert [(r.page_id, r.record_type) for r in op.store_and_read(mixed, f"{tmp_path}/c").collect()] == [(1, "response")]
 
 
 def test_missing_capture(spark, tmp_path):

@@ -44,6 +44,11 @@ def test_repeated_rows_and_ids(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_null_ids(spark):
+    rows = spark.createDataFrame([(None, "a long line here"), (None, "a long line here"), (1, "a long line here"), (2, "a long line here")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_dropped) for r in op.dedup_lines(rows).collect()) == [("1", 0), ("2", 1), ("None", 0), ("None", 0)]
+
+
 def test_hot_key(spark, monkeypatch):
     monkeypatch.setattr(op, "HOT_SHARE", 4)
     rows = [(i, f"the hot line of all\nline number {i // 2}\nthe hot line of all") for i in range(40)]
