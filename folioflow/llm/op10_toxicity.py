@@ -308,9 +308,11 @@ def drop_toxic(docs: DataFrame, machine: Machine, cutoff: float = 0.5) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at)
-            clean = [machine.score(x) < cutoff for k in range(0, batch.num_rows, 128) for x in machine.worst(texts.slice(k, 128).to_pylist())]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            for k in range(0, batch.num_rows, 512):  # small batches go out, as texts go along
+                part = batch.slice(k, 512)
+                texts = part.column(at)
+                clean = [machine.score(x) < cutoff for j in range(0, part.num_rows, 128) for x in machine.worst(texts.slice(j, 128).to_pylist())]
+                yield part.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
