@@ -3,7 +3,7 @@
 Documents are dealt into shards of a bounded number of tokens. Each shard gets a BM25 inverted index
 of its documents' token ids. A window starts with a seed, the document that the last window cut or
 else the next unused one; the index then returns the unused documents of the shard in order of their
-BM25 score for the seed's weightiest terms, and these fill the window greedily. The last one is cut
+BM25 score for all of the seed's terms, and these fill the window greedily. The last one is cut
 where the window ends and seeds the next window, so windows are full but for the end of a shard,
 whose remainder is dealt into sequences of descending powers of two, which need no padding.
 """
@@ -33,7 +33,6 @@ GROUP = 16
 REMEMBERED = 300_000
 #: Unknown words that go through the tokenizer together; its time a word grows with the length of a text.
 JOINED = 64
-QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 #: Composed Latin-1 letters in lower case, then perhaps ASCII punctuation other than an apostrophe: two pre-tokens at most.
 LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
@@ -156,24 +155,19 @@ class InvertedIndex:
         df = np.bincount(term)
         self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
-        ends = np.cumsum(sizes)
-        self.weights = [weight[e - s : e] for s, e in zip(sizes, ends)]
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.start = np.concatenate([[0], np.cumsum(df)])
         self.df = df
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's weightiest terms, best first, ties by place."""
-        terms, weights = self.terms[seed], self.weights[seed]
-        shared = self.df[terms] > 1
-        terms, weights = terms[shared], weights[shared]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argsort(-weights, kind="stable")[:QUERY_TERMS]]
-        score = np.zeros(self.n)
-        for t in terms.tolist():
-            s, e = self.start[t], self.start[t + 1]
-            score[self.doc[s:e]] += self.weight[s:e]
+        """Unused documents that share one of the seed's terms, best first, ties by place."""
+        terms = self.terms[seed]
+        terms = terms[self.df[terms] > 1]
+        starts, counts = self.start[terms], self.df[terms]
+        # the places of all these terms' postings, one term after the other
+        at = np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+        score = np.bincount(self.doc[at], self.weight[at], self.n)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 

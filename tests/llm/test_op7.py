@@ -52,6 +52,27 @@ def test_neighbours_share_words():
     assert sum(len(x) for x in seqs.values()) <= 8
 
 
+def test_neighbours_score_all_terms():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 400, 60).astype(np.uint32) for _ in range(40)]
+    counts = [dict(zip(*np.unique(d, return_counts=True))) for d in docs]
+    df = defaultdict(int)
+    for c in counts:
+        for t in c:
+            df[t] += 1
+    index = op.InvertedIndex(docs)
+    for seed in range(10):
+        assert sum(df[t] > 1 for t in counts[seed]) > 30
+        score = {}
+        for d, c in enumerate(counts):
+            for t in c.keys() & counts[seed].keys():
+                idf = np.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5))
+                score[d] = score.get(d, 0) + idf * c[t] * (op.K1 + 1) / (c[t] + op.K1)  # all of the mean length
+        got = index.neighbours(seed, np.ones(len(docs), bool)).tolist()
+        assert set(got) == set(score)
+        assert np.allclose([score[d] for d in got], sorted(score.values(), reverse=True))
+
+
 def test_words():
     plain = Tokenizer.from_file(PATH)
     for small in (op.WordEncoder(PATH), op.WordEncoder(PATH, remembered=2)):
