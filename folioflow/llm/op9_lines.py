@@ -26,10 +26,11 @@ def _lines(text: str = "text"):
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
-    """``doc_id, tk, pos, h1, h2`` of each line whose key is long enough."""
+    """``doc_id, tk, pos, h1, h2`` of each line whose key is long enough; rows without an id take no part, whatever path a key goes."""
     key = F.translate(F.btrim("line", F.lit(common.BLANK)), UPPER, LOWER)
     return (
-        docs.select("doc_id", common.text_key().alias("tk"), F.posexplode(_lines()).alias("pos", "line"))
+        docs.where("doc_id IS NOT NULL")
+        .select("doc_id", common.text_key().alias("tk"), F.posexplode(_lines()).alias("pos", "line"))
         .select("doc_id", "tk", "pos", key.alias("key"))
         .where(F.char_length("key") >= MIN_CODE_POINTS)
         .select("doc_id", "tk", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
@@ -96,8 +97,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A null or empty text is one empty line, never dropped; its ``kept_text`` stays as it was. Lines whose key has
     fewer than ten code points stay. All occurrences in the smallest ``doc_id`` stay, also when rows
-    repeat; rows that share an id count as one document; rows without an id lose nothing. A document that loses every line keeps an
-    empty text. Other columns are ignored; an empty table gives no rows.
+    repeat; rows that share an id count as one document; rows without an id are no documents: they lose nothing and cost others
+    nothing. A document that loses every line keeps an empty text. Other columns are ignored; an empty table gives no rows.
     """
     own = docs.select("doc_id", "text")
     return apply_bitmaps(own, keep_bitmaps(own)).select("doc_id", "n_lines", "n_dropped", "kept_text")

@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
@@ -44,9 +45,16 @@ def test_repeated_rows_and_ids(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_null_ids(spark):
-    rows = spark.createDataFrame([(None, "a long line here"), (None, "a long line here"), (1, "a long line here"), (2, "a long line here")], "doc_id long, text string")
-    assert sorted((str(r.doc_id), r.n_dropped) for r in op.dedup_lines(rows).collect()) == [("1", 0), ("2", 1), ("None", 0), ("None", 0)]
+@pytest.mark.parametrize("share", [1, 4, 1 << 40])
+def test_null_ids(spark, monkeypatch, share):
+    """The same rows with all keys streamed, some and all of them hot."""
+    monkeypatch.setattr(op, "HOT_SHARE", share)
+    shared = [(None, "a long line here"), (None, "a long line here"), (1, "a long line here"), (2, "a long line here\nof two documents"), (3, "a long line here")]
+    rows = shared + [(i, f"line of {i} alone\nof two documents") for i in range(4, 3000)]
+    got = op.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    low = sorted((str(r.doc_id), r.n_dropped, r.kept_text) for r in got if r.doc_id is None or r.doc_id < 4)
+    assert low == [("1", 0, "a long line here"), ("2", 1, "of two documents"), ("3", 1, ""), ("None", 0, "a long line here"), ("None", 0, "a long line here")]
+    assert all(r.n_dropped == 1 for r in got if r.doc_id and r.doc_id > 3)
 
 
 def test_hot_key(spark, monkeypatch):
