@@ -19,7 +19,7 @@ def test_null_rows(spark):
     assert op7_packing.pack_documents(docs, P.path("word_bpe_49k.json")).agg(F.sum("length")).first()[0] == 8
     assert op10_toxicity.judge_toxicity(docs, labels).count() == 3
     pages = spark.createDataFrame([(None, None)], "page_id long, url string")
-    assert op5_urls.judge_urls(pages, op5_urls.train(op5_urls.labelled_urls(spark))).count() == 1
+    assert op5_urls.judge_urls(pages, op5_urls.trained(spark)).count() == 1
     vectors = spark.createDataFrame([(None, None, None), (None, [1.0], 1), (2, [1.0], 1)], "vec_id long, embedding array<float>, label int")
     assert op6_hnsw.near_duplicates(vectors).count() == 3
     assert corpus_pipeline.simhash_dedup(spark, docs, "").count() == 3
