@@ -1,12 +1,13 @@
 """Quality rules whose cutoffs carry a guarantee.
 
-A rule rejects a document when one of its measures reaches a cutoff. For each stratum, one half of
-the labelled documents proposes a cutoff for each measure, where it pays; the other half, the holdout,
-certifies what all rules of the stratum reject together: the exact (Clopper-Pearson) upper bound on the
-share of good documents rejected has to stay within the allowed one. Where it does not, the rule of
-least gain is left out and the rest is tried again. All certificates hold together with the stated
-confidence, as each trial in each stratum gets its share of the error (Bonferroni). A stratum where
-nothing can be certified, as where few labels are, rejects nothing.
+A rule rejects a document that passed the base when one of its measures reaches a cutoff. The trials are
+distinct labelled texts that pass the base, so copies and repeated labels count once. For each stratum,
+one half of them proposes a cutoff for each measure, where it pays; the other half, the holdout, certifies:
+the exact (Clopper-Pearson) upper bound on the share of good texts that the stratum's rules reject together
+has to stay within the allowed one. The rules are tried in the order of their gain, first one, then two and
+so on, until a set fails (fixed-sequence testing, which spends no error on the trials that pass); the error
+is shared out (Bonferroni) among the strata whose holdout could certify anything, which its size alone
+decides. A stratum where nothing can be certified, as where few labels are, rejects nothing.
 """
 
 from __future__ import annotations
@@ -115,8 +116,20 @@ class Cutoff(NamedTuple):
 
 
 def _half() -> Column:
-    """0 for documents that propose, 1 for the holdout."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2))
+    """0 for texts that propose, 1 for the holdout; copies of a text are in one half."""
+    return F.pmod(F.xxhash64(F.lit(5), F.col("text_key")), F.lit(2))
+
+
+def failed_base() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def trials(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``stratum, text_key, quality`` and the measures of each distinct labelled text that passes the base; good if one label says so."""
+    known = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    labelled = rows.where(~failed_base()).join(known, "doc_id")
+    measures = [f"m_{m}" for m in MEASURES]
+    return labelled.groupBy("stratum", "text_key").agg(F.max("quality").alias("quality"), *(F.max(m).alias(m) for m in measures))
 
 
 def propose(labelled: DataFrame) -> dict[str | None, list[Cutoff]]:
@@ -145,27 +158,36 @@ def propose(labelled: DataFrame) -> dict[str | None, list[Cutoff]]:
             best = sorted(c for c in gain if gain[c] == max(gain.values()))
             if gain[best[0]] > 0:
                 gains.append((gain[best[0]], Cutoff(stratum, measure, best[len(best) // 2] / STEPS)))
-        found[stratum] = [c for _, c in sorted(gains, key=lambda x: -x[0])]
+        found[stratum] = [c for _, c in sorted(gains, key=lambda x: (-x[0], x[1].measure))]
     return found
 
 
+def shared_error(sizes: list[int], alpha: float, delta: float) -> float:
+    """The error of each stratum: that of the most strata whose holdouts, of these sizes, can all certify a rule without a hit."""
+    for m in range(len(sizes), 1, -1):
+        if sum(certified(0, n, alpha, delta / m) for n in sizes) >= m:
+            return delta / m
+    return delta
+
+
 def select_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> list[Cutoff]:
-    """Certified cutoffs from all rows of ``doc_id, stratum, quality`` and the measures; rows without a label are left out."""
-    labelled = labelled.where("quality IN (0, 1)")
+    """Certified cutoffs from the ``trials``."""
+    labelled = common.written(labelled, "trials")
     proposed = propose(labelled)
-    trials = range(len(MEASURES))
-    # trial j leaves out the j rules of least gain
-    sets = [[c for rules in proposed.values() for c in rules[: max(0, len(rules) - j)]] for j in trials]
+    # trial j takes the j + 1 rules of most gain
+    sets = [[c for rules in proposed.values() for c in rules[: j + 1]] for j in range(len(MEASURES))]
     hits = [rejected(cutoffs, F.col("stratum")) for cutoffs in sets]
     good = F.col("quality") == 1
     held = labelled.where(_half() == 1).groupBy("stratum").agg(F.count_if(good).alias("n"), *(F.count_if(good & hit).alias(f"k{j}") for j, hit in enumerate(hits)))
-    error, found = delta / max(1, len(proposed) * len(trials)), []
-    for r in held.collect():
-        rules = proposed.get(r.stratum, [])
-        for j in range(len(rules)):
-            if certified(r[f"k{j}"], r.n, alpha, error):
-                found += rules[: len(rules) - j]
-                break
+    held = [r for r in held.collect() if proposed.get(r.stratum)]
+    # as many strata may be able to certify as share the error; a larger stratum goes first where not all are
+    error, found = shared_error([r.n for r in held], alpha, delta), []
+    share = round(delta / error)
+    for r in sorted(held, key=lambda r: (-r.n, str(r.stratum)))[:share]:
+        rules, passed = proposed[r.stratum], 0
+        while passed < len(rules) and certified(r[f"k{passed}"], r.n, alpha, error):
+            passed += 1
+        found += rules[:passed]
     return found
 
 
@@ -180,16 +202,16 @@ def rejected(cutoffs: list[Cutoff], stratum: Column) -> Column:
 def judge_quality(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """``docs (doc_id, text, lang)`` judged: the base counts, ``base_failed`` and ``kept``.
 
-    Strata are the values of ``lang``, null among them. ``labels (doc_id, quality)`` may lack documents; a
-    document with several labels counts as often in the holdout. A document fails the base with fewer
+    Strata are the values of ``lang``, null among them. ``labels (doc_id, quality)`` may lack documents; of several labels of a
+    document, or of copies of a text, the best counts. A document fails the base with fewer
     than 50 words or over half of its words in repeated windows; then it is not kept. Null and empty
     texts have no words. Repeated rows give repeated results, other columns are ignored, an empty table
     gives no rows, and without labels all that pass the base are kept.
     """
-    rows = common.written(measured(docs.select("doc_id", "text", F.col("lang").alias("stratum")), ("stratum",)), "measures")
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
-    cutoffs = select_cutoffs(rows.join(known, "doc_id"), alpha, delta)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    named = docs.select("doc_id", "text", F.col("lang").alias("stratum"), common.text_key().alias("text_key"))
+    rows = common.written(measured(named, ("stratum", "text_key")), "measures")
+    cutoffs = select_cutoffs(trials(rows, labels), alpha, delta)
+    failed = failed_base()
     kept = ~failed & ~rejected(cutoffs, F.col("stratum"))
     base = [c for c in rows.columns if c.startswith("n_") or c == "word_chars"]
     return rows.select("doc_id", *base, failed.alias("base_failed"), kept.alias("kept"))

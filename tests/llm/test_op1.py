@@ -2,12 +2,16 @@ import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
+from folioflow.llm import common
 from folioflow.llm import op1_quality as op
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,6 +76,65 @@ def test_table(spark):
     assert [(got[i].base_failed, got[i].kept, got[i].n_words) for i in range(9000, 9004)] == [(True, False, 0), (True, False, 0), (True, False, 120), (True, False, 2)]
 
 
+def independent_cutoffs(trials, alpha=op.ALPHA, delta=op.DELTA):
+    """Rules from ``(half, stratum, quality, measures)``, with exact fractions and no code of the operator."""
+
+    def bound_holds(k, n, error):
+        p = Fraction(str(alpha))
+        return k < n and sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) <= error
+
+    step = lambda x: min(math.floor(x * 100), 100)
+    proposed, held = {}, {}
+    for stratum in {t[1] for t in trials}:
+        own = [t for t in trials if t[1] == stratum]
+        rules = []
+        for m in op.MEASURES:
+            gain = [sum(1 if q == 0 else -20 for h, _, q, x in own if h == 0 and step(x[m]) >= c) for c in range(101)]
+            best = [c for c in range(1, 101) if gain[c] == max(gain[1:])]
+            if max(gain[1:]) > 0:
+                rules.append((-max(gain[1:]), m, best[len(best) // 2]))
+        if rules and any(h == 1 for h, *_ in own):
+            proposed[stratum] = [(m, c) for _, m, c in sorted(rules)]
+            held[stratum] = [x for h, _, q, x in own if h == 1 and q == 1]
+    sizes = sorted((len(v) for v in held.values()), reverse=True)
+    strata = max([m for m in range(1, len(sizes) + 1) if bound_holds(0, sizes[m - 1], Fraction(str(delta)) / m)], default=1)
+    chosen = {}
+    for stratum in sorted(held, key=lambda s: (-len(held[s]), str(s)))[:strata]:
+        for k in range(1, len(proposed[stratum]) + 1):
+            hits = sum(any(step(x[m]) >= c for m, c in proposed[stratum][:k]) for x in held[stratum])
+            if not bound_holds(hits, len(held[stratum]), Fraction(str(delta)) / strata):
+                break
+            chosen[stratum] = proposed[stratum][:k]
+    return chosen
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_kept_against_an_independent_computation(spark, sf):
+    where = f"/root/testdata/{sf}"
+    if not Path(where).exists():
+        pytest.skip("the tables are not here")
+    docs, labels = (spark.read.parquet(f"{where}/{t}.parquet") for t in ("documents", "labels"))
+    named = docs.select("doc_id", "text", F.col("lang").alias("stratum"), common.text_key().alias("text_key"))
+    rows = op.measured(named, ("stratum", "text_key")).withColumn("half", op._half()).collect()
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    base = {r.doc_id: r.n_words < 50 or 2 * r.n_repeat_words > r.n_words for r in rows}
+    texts = {}
+    for r in rows:
+        if known.get(r.doc_id) is not None and not base[r.doc_id]:
+            quality = max(known[r.doc_id], texts.get((r.stratum, r.text_key), (0, 0))[1])
+            texts[r.stratum, r.text_key] = (r.half, quality, {m: r[f"m_{m}"] for m in op.MEASURES})
+    chosen = independent_cutoffs([(h, s, q, x) for (s, _), (h, q, x) in texts.items()])
+    want = {r.doc_id: not base[r.doc_id] and not any(math.floor(r[f"m_{m}"] * 100) >= c for m, c in chosen.get(r.stratum, [])) for r in rows}
+    got = {r.doc_id: r.kept for r in op.judge_quality(docs, labels).collect()}
+    assert got == want
+    bad = [i for i in got if known.get(i) == 0 and not base[i]]
+    good = [i for i in got if known.get(i) == 1 and not base[i]]
+    print(f"{sf}: rules for {sorted(map(str, chosen))}; good kept {sum(got[i] for i in good)} of {len(good)}, bad kept {sum(got[i] for i in bad)} of {len(bad)}")
+    # every stratum whose holdout can certify a rule, and has one that pays, gets it
+    sizes = Counter(s for (s, _), (h, q, _) in texts.items() if h == 1 and q == 1)
+    assert all(s in chosen for s, n in sizes.items() if n >= 217 and any(q == 0 for (t, _), (h, q, _) in texts.items() if t == s and h == 0))
+
+
 def test_guarantee():
     """Cutoffs proposed at random are certified wrongly no more often than stated."""
     rng, wrong = random.Random(0), 0
