@@ -1,8 +1,10 @@
 """Lexical retrieval packing: windows are filled by a seed document and its nearest unused neighbours.
 
-Documents are dealt into shards of a bounded number of tokens. Each shard gets a BM25 inverted index
-of its documents' token ids. A window starts with a seed, the document that the last window cut or
-else the next unused one; the index then returns the unused documents of the shard in order of their
+Texts are encoded once and their ids written. BM25's statistics, document frequencies and mean length, are
+counted over all documents. Documents are then dealt to shards of a bounded number of tokens by range of their
+rarest term that another document has too, so documents that share rare terms meet whatever their place in the
+input. Each shard gets an inverted index. A window starts with a seed, the document that the last window cut
+or else the next unused one; the index then returns the unused documents of the shard in order of their
 BM25 score for all of the seed's terms, and these fill the window greedily. The last one is cut
 where the window ends and seeds the next window, so windows are full but for the end of a shard,
 whose remainder is dealt into sequences of descending powers of two, which need no padding.
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 from .op2_bpe import byte_characters
@@ -29,11 +32,19 @@ END_ID = 2
 SHARD_TOKENS = 1 << 21
 #: Documents whose unknown words are encoded in one call; few, so that their words stay in the cache.
 GROUP = 16
+#: Documents that go back from a worker at once.
+SENT = 512
 #: Words remembered by a worker; once as many are known no more are added.
 REMEMBERED = 300_000
 #: Unknown words that go through the tokenizer together; its time a word grows with the length of a text.
 JOINED = 64
 K1, B = 1.2, 0.75
+#: Terms that one in so many documents of a shard has are kept as a dense matrix and not as postings.
+DENSE = 16
+#: Texts whose words have to encode alike alone and in place; a tokenizer that fails one encodes whole texts.
+PROBES = (
+    "Don't stop: it's 12,345.67 -- (x)[y]{z}", "L'été n'est\n\npas  là; Straße ÄÖÜ", "a's'll b've c're'd 'm", "<|endoftext|> < |x| >", "naïve\tcafé\u00a0x e\u0301 ﬁ", "日本語 テキスト ok", "!!! ??? ...a1b2 #$%&*", "UPPER lower MiXeD",
+)
 #: Composed Latin-1 letters in lower case, then perhaps ASCII punctuation other than an apostrophe: two pre-tokens at most.
 LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
@@ -43,6 +54,7 @@ class WordEncoder:
 
     No pre-token of such a tokenizer crosses a space or a line feed, so what stands between them is
     encoded once and remembered. Unknown words are joined by a separator that is a token of its own.
+    Where the tokenizer encodes ``PROBES`` otherwise, each text goes through it whole.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -59,6 +71,8 @@ class WordEncoder:
         self.remembered = remembered
         single = [(c, ids[0]) for c in "♥★☀☺♪•" if len(ids := self._ids(c)) == 1 and self._ids(f"x {c} y") == [*self._ids("x"), ids[0], *self._ids("y")]]
         self.separator, self.separator_id = single[0] if single else (None, None)
+        self.by_word = True
+        self.by_word = all(np.frombuffer(x, "<u4").tolist() == self._ids(p) for p, x in zip(PROBES, self.encode(list(PROBES))))
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -108,6 +122,8 @@ class WordEncoder:
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return [np.array(self._ids(t or ""), "<u4").tobytes() for t in texts]
         known, out, open_, new = self.known, [], [], set()
         for text in texts:
             text = text or ""
@@ -138,10 +154,25 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+class Statistics:
+    """BM25's corpus statistics: the number of documents, their mean length and in how many of them each term is."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray):
+        self.n, self.mean, self.df = n, max(mean, 1.0), df
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        # what the dealing ranks terms by: only those of two documents or more can bring neighbours
+        self.rarity = np.where(df > 1, self.idf, -1.0).astype(np.float32)
+
+    @staticmethod
+    def of(documents: list[np.ndarray]) -> Statistics:
+        df = np.bincount(np.concatenate([np.unique(x) for x in documents]).astype(np.int64))
+        return Statistics(len(documents), sum(map(len, documents)) / len(documents), df)
+
+
 class InvertedIndex:
-    """BM25 over the token ids of one shard."""
+    """BM25 over the token ids of one shard; terms that many of its documents have are columns of a dense matrix."""
 
-    def __init__(self, documents: list[np.ndarray]):
+    def __init__(self, documents: list[np.ndarray], statistics: Statistics):
         self.n = len(documents)
         self.terms, counts = [], []
         for ids in documents:
@@ -150,31 +181,42 @@ class InvertedIndex:
             counts.append(c)
         sizes = np.array([len(t) for t in self.terms])
         lengths = np.array([len(x) for x in documents], float)
-        term, tf = np.concatenate(self.terms), np.concatenate(counts).astype(float)
+        term, tf = np.concatenate(self.terms).astype(np.int64), np.concatenate(counts).astype(float)
         doc = np.repeat(np.arange(self.n), sizes)
         df = np.bincount(term)
-        self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
-        order = np.argsort(term, kind="stable")
+        weight = statistics.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / statistics.mean))
+        common_ = np.flatnonzero(df * DENSE > max(self.n, 4 * DENSE))
+        self.column = np.full(len(df), -1, np.int64)
+        self.column[common_] = np.arange(len(common_))
+        own = self.column[term]
+        self.dense = np.zeros((len(common_), self.n))
+        self.dense[own[own >= 0], doc[own >= 0]] = weight[own >= 0]
+        rest = own < 0
+        order = np.flatnonzero(rest)[np.argsort(term[rest], kind="stable")]
         self.doc, self.weight = doc[order], weight[order]
-        self.start = np.concatenate([[0], np.cumsum(df)])
+        self.start = np.concatenate([[0], np.cumsum(np.where(self.column < 0, df, 0))])
         self.df = df
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's terms, best first, ties by place."""
+    def scores(self, seed: int) -> np.ndarray:
         terms = self.terms[seed]
-        terms = terms[self.df[terms] > 1]
+        column = self.column[terms]
+        total = self.dense[column[column >= 0]].sum(axis=0)
+        terms = terms[(column < 0) & (self.df[terms] > 1)]
         starts, counts = self.start[terms], self.df[terms]
         # the places of all these terms' postings, one term after the other
         at = np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
-        score = np.bincount(self.doc[at], self.weight[at], self.n)
+        return total + np.bincount(self.doc[at], self.weight[at], self.n)
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents that share one of the seed's terms, best first, ties by place."""
+        score = self.scores(seed)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(documents: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
-    """Pieces ``(document, start, length, sequence, offset)`` that cover each document once."""
-    index = InvertedIndex(documents)
+def pack_shard(documents: list[np.ndarray], window: int = WINDOW, statistics: Statistics | None = None) -> list[tuple[int, int, int, int, int]]:
+    """Pieces ``(document, start, length, sequence, offset)`` that cover each document once; statistics are the documents' own if not given."""
+    index = InvertedIndex(documents, statistics or Statistics.of(documents))
     size, start = [len(x) for x in documents], [0] * len(documents)
     unused = np.ones(len(documents), bool)
     pieces, sequence, cut, following = [], 0, -1, 0
@@ -226,48 +268,116 @@ def pack_shard(documents: list[np.ndarray], window: int = WINDOW) -> list[tuple[
             sequence += 1
 
 
+def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """``doc_id, ids`` of each row, the ids as little-endian 16-bit numbers if all fit, else 32-bit ones, written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = encoder(path)
+        kind = id_type(path)
+        end = np.array([end_id], kind).tobytes()
+        for batch in (b.slice(k, SENT) for b in batches for k in range(0, b.num_rows, SENT)):
+            ids = []
+            for k in range(0, batch.num_rows, GROUP):
+                found = words.encode(batch.column(1).slice(k, GROUP).to_pylist())
+                ids += [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return common.written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary"), "ids")
+
+
+def id_type(path: str) -> str:
+    return "<u2" if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def corpus_statistics(rows: DataFrame, kind: str) -> Statistics:
+    """Counted over all rows of ``ids``; what reaches the driver is a row for each token of the vocabulary, and two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(1, np.int64), 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [np.sort(np.frombuffer(x, kind)) for x in batch.column(0).to_pylist()]
+            n, total = n + len(own), total + sum(map(len, own))
+            # a token counts once a document: of equal neighbours in the sorted ids the first
+            firsts = [x[np.concatenate([[True], x[1:] != x[:-1]])] for x in own]
+            more = np.bincount(np.concatenate(firsts), minlength=len(df))
+            more[: len(df)] += df
+            df = more
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]])), pa.array(np.concatenate([df[at], [n, total]]))], ["token", "n"])
+
+    counts = rows.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = {r.token: r.n for r in counts.collect()}
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    for token, n in found.items():
+        if token >= 0:
+            df[token] = n
+    n = found.get(-1, 0)
+    return Statistics(n, found.get(-2, 0) / max(1, n), df)
+
+
+def dealt(rows: DataFrame, statistics: Statistics, kind: str) -> DataFrame:
+    """Rows in ranges of their rarest term that another document has (-1: none); many documents of one term spread by their ids."""
+    rarity = statistics.rarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = []
+            for x in batch.column(1).to_pylist():
+                ids = np.frombuffer(x, kind)
+                t = int(ids[rarity[ids].argmax()])
+                terms.append(t if rarity[t] > 0 else -1)
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), batch.column(0), batch.column(1)], ["term", "doc_id", "ids"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.mapInArrow(run, f"term int, doc_id {dict(rows.dtypes)['doc_id']}, ids binary").withColumn("part", F.spark_partition_id())
+    return keyed.repartitionByRange(parts, "term", "doc_id", "part").sortWithinPartitions("term", "doc_id").select("doc_id", "ids")
+
+
 def pack_documents(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pack the column ``text`` of ``docs`` into sequences of at most ``window`` tokens.
 
     Returns a row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
     A document's tokens are those of its whole text and ``end_id``; null and empty texts have that one
     alone. Documents longer than a window fill windows of their own and go on in the next. Repeated rows
-    are packed as often as they occur, other columns are dropped, an empty table gives no rows. A shard
-    never crosses a partition of ``docs``; sequence numbers hold the partition in their upper half.
+    are packed as often as they occur, rows without an id too; other columns are dropped, an empty table gives no rows. A shard
+    never crosses a partition; sequence numbers hold the partition in their upper half.
     """
+    kind = id_type(path)
+    rows = encoded(docs, path, end_id)
+    statistics = corpus_statistics(rows, kind)
 
-    def packed(ids_of: list[object], raw: list[bytes], first: int, kind: pa.DataType) -> tuple[pa.RecordBatch, int]:
-        documents = [np.frombuffer(x, "<u4") for x in raw]
-        pieces = pack_shard(documents, window)
+    def packed(ids_of: list[object], raw: list[bytes], first: int, id_kind: pa.DataType) -> tuple[pa.RecordBatch, int]:
+        documents = [np.frombuffer(x, kind) for x in raw]
+        pieces = pack_shard(documents, window, statistics)
         at = np.array(pieces, np.int64).reshape(-1, 5)
-        crc = [zlib.crc32(memoryview(raw[d])[4 * s : 4 * (s + n)]) for d, s, n, _, _ in pieces]
+        wide = [x.astype("<u4").tobytes() for x in documents]
+        crc = [zlib.crc32(memoryview(wide[d])[4 * s : 4 * (s + n)]) for d, s, n, _, _ in pieces]
         columns = [
-            pa.array([ids_of[d] for d in at[:, 0]], kind), pa.array(at[:, 1]), pa.array(at[:, 2]), pa.array(crc, pa.int64()),
+            pa.array([ids_of[d] for d in at[:, 0]], id_kind), pa.array(at[:, 1]), pa.array(at[:, 2]), pa.array(crc, pa.int64()),
             pa.array([len(documents[d]) for d in at[:, 0]], pa.int64()), pa.array(at[:, 3] + first), pa.array(at[:, 4]),
         ]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]), int(at[-1, 3]) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = encoder(path), np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 32
-        ids_of, raw, held, kind = [], [], 0, pa.int64()
+        ids_of, raw, held, id_kind = [], [], 0, pa.int64()
         for batch in batches:
-            kind = batch.schema.field(0).type
-            keys = batch.column(0).to_pylist()
-            for k in range(0, batch.num_rows, GROUP):
-                for key, ids in zip(keys[k : k + GROUP], words.encode(batch.column(1).slice(k, GROUP).to_pylist())):
-                    ids_of.append(key)
-                    raw.append(ids + end)
-                    held += len(ids) // 4 + 1
-                    if held >= shard_tokens:
-                        out, n = packed(ids_of, raw, first, kind)
-                        yield out
-                        ids_of, raw, held, first = [], [], 0, first + n
+            id_kind = batch.schema.field(0).type
+            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids_of.append(key)
+                raw.append(ids)
+                held += len(ids) // np.dtype(kind).itemsize
+                if held >= shard_tokens:
+                    out, n = packed(ids_of, raw, first, id_kind)
+                    yield out
+                    ids_of, raw, held, first = [], [], 0, first + n
         if raw:
-            yield packed(ids_of, raw, first, kind)[0]
+            yield packed(ids_of, raw, first, id_kind)[0]
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return dealt(rows, statistics, kind).mapInArrow(run, schema)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

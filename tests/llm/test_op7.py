@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
@@ -52,25 +53,56 @@ def test_neighbours_share_words():
     assert sum(len(x) for x in seqs.values()) <= 8
 
 
-def test_neighbours_score_all_terms():
+def bm25(counts, df, n, mean, lengths, seed):
+    score = {}
+    for d, c in enumerate(counts):
+        for t in c.keys() & counts[seed].keys():
+            idf = np.log1p((n - df[t] + 0.5) / (df[t] + 0.5))
+            score[d] = score.get(d, 0) + idf * c[t] * (op.K1 + 1) / (c[t] + op.K1 * (1 - op.B + op.B * lengths[d] / mean))
+    return score
+
+
+@pytest.mark.parametrize("dense", [1, 4, 16, 1000])
+def test_neighbours_against_brute_force(monkeypatch, dense):
+    """All terms of a seed count, with statistics of a larger corpus, however terms are stored."""
+    monkeypatch.setattr(op, "DENSE", dense)
     rng = np.random.default_rng(5)
-    docs = [rng.integers(0, 400, 60).astype(np.uint32) for _ in range(40)]
-    counts = [dict(zip(*np.unique(d, return_counts=True))) for d in docs]
+    corpus = [np.minimum(rng.geometric(0.01, rng.integers(20, 90)), 399).astype("<u2") for _ in range(120)]
+    docs, statistics = corpus[:50], op.Statistics.of(corpus)
     df = defaultdict(int)
-    for c in counts:
-        for t in c:
+    for d in corpus:
+        for t in set(d.tolist()):
             df[t] += 1
-    index = op.InvertedIndex(docs)
+    counts = [dict(zip(*(x.tolist() for x in np.unique(d, return_counts=True)))) for d in docs]
+    index = op.InvertedIndex(docs, statistics)
     for seed in range(10):
-        assert sum(df[t] > 1 for t in counts[seed]) > 30
-        score = {}
-        for d, c in enumerate(counts):
-            for t in c.keys() & counts[seed].keys():
-                idf = np.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5))
-                score[d] = score.get(d, 0) + idf * c[t] * (op.K1 + 1) / (c[t] + op.K1)  # all of the mean length
-        got = index.neighbours(seed, np.ones(len(docs), bool)).tolist()
-        assert set(got) == set(score)
-        assert np.allclose([score[d] for d in got], sorted(score.values(), reverse=True))
+        score = bm25(counts, df, len(corpus), sum(map(len, corpus)) / len(corpus), [len(d) for d in docs], seed)
+        unused = rng.random(len(docs)) < 0.8
+        got = index.neighbours(seed, unused).tolist()
+        alone = {d for d in score if all(sum(t in c for c in counts) == 1 for t in counts[d].keys() & counts[seed].keys())}  # the seed itself
+        want = {d for d in score if unused[d]} - alone - {seed}
+        assert set(got) - {seed} == want
+        assert np.allclose([score[d] for d in got if d != seed], sorted((score[d] for d in want), reverse=True))
+
+
+def test_statistics_cover_all_documents(spark):
+    rows = [(i, f"word{i % 7} and {'x ' * (i % 5)} common") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = op.encoded(docs, PATH, 2)
+    got, plain = op.corpus_statistics(found, op.id_type(PATH)), Tokenizer.from_file(PATH)
+    want = op.Statistics.of([np.array([*plain.encode(t, add_special_tokens=False).ids, 2]) for _, t in rows])
+    assert (got.n, got.mean) == (want.n, want.mean) and got.df.tolist() == want.df.tolist()
+
+
+def test_documents_of_a_rare_term_meet(spark):
+    """Copies of ten texts, scattered over the input, share windows."""
+    rng = np.random.default_rng(3)
+    kinds = [" ".join(f"{chr(97 + k)}{rng.integers(10**6)}" for _ in range(150)) for k in range(10)]
+    docs = spark.createDataFrame([(i, kinds[i % 10]) for i in range(200)], "doc_id long, text string").repartition(4)
+    by = defaultdict(list)
+    for r in op.pack_documents(docs, PATH, shard_tokens=1 << 15).collect():
+        by[r.sequence_id].append(r.doc_id % 10)
+    assert sum(max(map(x.count, set(x))) / len(x) for x in by.values()) / len(by) > 0.6
 
 
 def test_words():
