@@ -17,7 +17,11 @@ Order within the sorts is that of hashes, as equality is all that counts. The te
 blocks, written once to the shared folder and read by the tasks that need them; only hashes travel,
 and a bit for each comes back. A hash goes out once a block, so any number of copies costs no more
 than their bytes. Names and screens may be taken for equal wrongly, which costs work and no result;
-contexts and strings are told apart by 64 bits (with the name 96 for contexts).
+contexts and strings are told apart by two independent 64-bit hashes.
+
+Texts over PIECE bytes are cut into pieces, blocks of their own, so that memory follows no text's length.
+A piece owns the strings that start in it and overlaps its neighbours by as much as these strings' samples
+need. Samples near a cut may be seen by both pieces; they go out with their place, which counts once.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,24 +48,28 @@ MODULUS, COVER = 31, (0, 1, 3, 8, 12, 18)
 PART = 120
 #: Bytes of a block, give or take a document; a task holds some ten arrays of eight times as many.
 BLOCK = 1 << 18
+#: Bytes of a piece of a long text, about; texts up to five quarters of it stay whole.
+PIECE = 1 << 20
 #: Least number of buckets of hashes, and bytes of text for each; the number follows the input, not the
 #: partitions, so that a block sends as many rows at every size until the input outgrows the least number.
 BUCKETS, BUCKET = 64, 1 << 25
 
-_TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
+#: Two independent hashes: random numbers for bytes, and a base.
+_TABLES = np.random.default_rng(20240229).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[int, list[np.ndarray]] = {0: [np.ones(1, np.uint64)] * 2, 1: [np.ones(1, np.uint64)] * 2}
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n + (n >> 2), np.uint64(base))
+def _grown(which: int, n: int) -> list[np.ndarray]:
+    """Powers of a base and of its inverse modulo 2^64."""
+    if len(_powers[which][0]) < n:
+        base = _BASES[which]
+        for k, factor in enumerate((base, pow(base, -1, 1 << 64))):
+            steps = np.full(n + (n >> 2), np.uint64(factor))
             steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+            _powers[which][k] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[which]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -69,26 +78,43 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Bytes:
-    """The documents of a block, end to end, with hashes of any part of them."""
+    """The documents of a block, or a piece of one, end to end, with hashes of any part of them.
+
+    Of a piece that starts at byte ``start`` of document ``origin``, strings that start in ``[first, last)`` are its own.
+    """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], piece: tuple[int, int, int, int] | None = None):
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.raw = np.frombuffer(b"".join(texts), np.uint8)
         self.n = len(self.raw)
-        power, self.inverse = _grown(self.n + 1)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_TABLE[self.raw] * power[: self.n], out=self.sums[1:])
+        self._sums: dict[int, np.ndarray] = {}
         #: Bytes from each position to the end of its document.
         self.left = np.repeat(self.ends, self.sizes) - np.arange(self.n)
         self.before = np.arange(self.n) - np.repeat(self.ends - self.sizes, self.sizes)
-
-    def hash(self, at: np.ndarray, length: int) -> np.ndarray:
-        return _mixed((self.sums[at + length] - self.sums[at]) * self.inverse[at])
+        self.origin, self.start, self.first, self.last = piece or (0, 0, 0, self.n)
+        #: Whether a string of the block's own starts at a position.
+        self.whole = self.left >= LENGTH
+        self.whole[: self.first] = False
+        self.whole[self.last :] = False
+        #: Samples from here on, and up to here, may be seen by another piece too.
+        self.border = (self.first + MODULUS if piece and self.start + self.first else 0, self.last if piece else self.n)
+
+    def sums(self, which: int) -> np.ndarray:
+        if which not in self._sums:
+            out = np.zeros(self.n + 1, np.uint64)
+            np.cumsum(_TABLES[which][self.raw] * _grown(which, self.n + 1)[0][: self.n], out=out[1:])
+            self._sums[which] = out
+        return self._sums[which]
+
+    def hash(self, at: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+        sums = self.sums(which)
+        return _mixed((sums[at + length] - sums[at]) * _grown(which, self.n + 1)[1][at])
 
     def all_hashes(self, length: int) -> np.ndarray:
         n = self.n - length + 1
-        return _mixed((self.sums[length:] - self.sums[:n]) * self.inverse[:n]) if n > 0 else np.zeros(0, np.uint64)
+        sums = self.sums(0)
+        return _mixed((sums[length:] - sums[:n]) * _grown(0, self.n + 1)[1][:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
 def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -148,7 +174,7 @@ def screen(b: Bytes, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = b.all_hashes(PART)
     parts[b.left[: len(parts)] < PART] = _MAX
     least = sliding(parts, width, np.minimum)[: b.n - LENGTH + 1]
-    whole = b.left[: len(least)] >= LENGTH
+    whole = b.whole[: len(least)]
     # a part is a least one if it is that of some string it lies in
     padded = np.concatenate([np.zeros(width - 1, np.uint64), np.where(whole, least, 0), np.zeros(width - 1, np.uint64)])
     used = sliding(padded, width, np.maximum)[: len(parts)] == parts
@@ -181,22 +207,36 @@ def sampled(b: Bytes, candidate: np.ndarray) -> np.ndarray:
     return at[before[at + 1] > before[at - np.minimum(b.before[at], MODULUS - 1)]]
 
 
-def names(b: Bytes, at: np.ndarray, block: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (name key, context) of the sample, sorted; the place of each position in them; how often each is at hand.
-
-    Where a document has not all bytes of the context, it is one of its own.
-    """
-    key = _key(b.hash(at, LENGTH - MODULUS + 1), buckets)
-    context = _mixed((at.astype(np.uint64) << np.uint64(20)) ^ np.uint64((block * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF))
-    full = (b.before[at] >= MODULUS - 1) & (b.left[at] >= LENGTH)
-    context[full] = b.hash(at[full] - (MODULUS - 1), LENGTH + MODULUS - 1)
-    order = np.lexsort((context, key))
-    k, c = key[order], context[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    place = np.empty(len(k), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return k[new], c[new], place, np.bincount(place, minlength=int(new.sum()))
+class Names:
+    """Distinct samples of a block sorted by bucket: name key, context's two hashes, how often at hand (two at most), or the place near a cut."""
+
+    def __init__(self, b: Bytes, at: np.ndarray, block: int, buckets: int):
+        key = _key(b.hash(at, LENGTH - MODULUS + 1), buckets)
+        # where a document has not all bytes of the context, it is one of its own
+        context = _mixed((at.astype(np.uint64) << np.uint64(20)) ^ np.uint64((block * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF))
+        other = context ^ _MAX
+        full = (b.before[at] >= MODULUS - 1) & (b.left[at] >= LENGTH)
+        for which, column in enumerate((context, other)):
+            column[full] = b.hash(at[full] - (MODULUS - 1), LENGTH + MODULUS - 1, which)
+        place = np.zeros(len(at), np.uint64)
+        near = (at < b.border[0]) | (at >= b.border[1])
+        place[near] = _mixed((at[near] + b.start).astype(np.uint64) ^ np.uint64(b.origin)) | np.uint64(1)
+        bucket = key >> np.uint64(32)
+        order = np.lexsort((place, other, context, key, near, bucket)) if near.any() else np.lexsort((other, context, key))
+        columns = [x[order] for x in (key, context, other, place)]
+        new = np.ones(len(at), bool)
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+        self.key, self.context, self.other, self.place = (x[new] for x in columns)
+        #: The entry of each position.
+        self.entry = np.empty(len(at), np.int64)
+        self.entry[order] = np.cumsum(new) - 1
+        self.weight = np.where(self.place > 0, 0, np.minimum(np.bincount(self.entry, minlength=len(self.key)), 2)).astype(np.uint8)
+
+    def blobs(self) -> Iterator[tuple[int, bytes]]:
+        """What goes to each bucket: plain entries, then those near a cut with their places."""
+        for bucket, (k, c, o, p, w) in _by_bucket(self.key, self.key, self.context, self.other, self.place, self.weight):
+            plain = int((p == 0).sum())
+            yield bucket, b"".join([np.array([plain], "<u4").tobytes(), k.astype("<u4").tobytes(), c.tobytes(), o.tobytes(), w[:plain].tobytes(), p[plain:].tobytes()])
 
 
 def _through(at: np.ndarray, b: Bytes) -> np.ndarray:
@@ -212,32 +252,31 @@ def split(b: Bytes, candidate: np.ndarray, block: int, buckets: int, rows: dict[
     at = sampled(b, candidate)
     if not len(at):
         return np.zeros(b.n, bool), np.zeros(b.n, bool)
-    key, _, place, counts = names(b, at, block, buckets)
-    again, open_ = _answers(key, rows, 2)
-    again |= counts > 1
-    whole = b.left >= LENGTH
-    return _through(at[again[place]], b) & whole, _through(at[open_[place]], b) & candidate & whole
+    names = Names(b, at, block, buckets)
+    again, open_ = _answers(names.key, rows, 2)
+    again |= names.weight > 1
+    return _through(at[again[names.entry]], b) & b.whole, _through(at[open_[names.entry]], b) & candidate & b.whole
 
 
 # 3. merge
 
 
-def strings(b: Bytes, open_: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, distinct hashes sorted by key with their keys, the place of each position, how often each is at hand."""
+def strings(b: Bytes, open_: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, distinct pairs of hashes sorted by key with their keys, the place of each position, how often each is at hand."""
     at = np.flatnonzero(open_)
-    h = b.hash(at, LENGTH)
+    h, g = b.hash(at, LENGTH), b.hash(at, LENGTH, 1)
     key = _key(h, buckets)
-    order = np.lexsort((h, key))
-    hs = h[order]
+    order = np.lexsort((g, h, key))
+    hs, gs = h[order], g[order]
     new = np.ones(len(hs), bool)
-    new[1:] = hs[1:] != hs[:-1]
+    new[1:] = (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])
     place = np.empty(len(hs), np.int64)
     place[order] = np.cumsum(new) - 1
-    return at, key[order][new], hs[new], place, np.bincount(place, minlength=int(new.sum()))
+    return at, key[order][new], hs[new], gs[new], place, np.bincount(place, minlength=int(new.sum()))
 
 
 def merged(b: Bytes, repeated: np.ndarray, open_: np.ndarray, buckets: int, rows: dict[int, bytes]) -> np.ndarray:
-    at, key, _, place, counts = strings(b, open_, buckets)
+    at, key, _, _, place, counts = strings(b, open_, buckets)
     if len(at):
         again = _answers(key, rows, 1)[0] | (counts > 1)
         repeated = repeated.copy()
@@ -245,59 +284,72 @@ def merged(b: Bytes, repeated: np.ndarray, open_: np.ndarray, buckets: int, rows
     return repeated
 
 
-def covered(b: Bytes, repeated: np.ndarray) -> np.ndarray:
-    """Bytes of the strings at the marked positions."""
+def covered(n: int, repeated: np.ndarray) -> np.ndarray:
+    """Which of n bytes the strings at the marked positions cover."""
     at = np.flatnonzero(repeated)
-    steps = np.zeros(b.n + 1, np.int64)
+    steps = np.zeros(n + 1, np.int64)
     steps[at] += 1
     np.add.at(steps, at + LENGTH, -1)
-    return np.cumsum(steps[: b.n]) > 0
+    return np.cumsum(steps[:n]) > 0
 
 
 # what a bucket answers: entries of each block to bits
 
 
-def _twice(blobs: list[bytes], kind) -> list[bytes]:
-    """Bit by entry: whether another block has it."""
-    entries = [np.frombuffer(x, kind) for x in blobs]
-    whole = np.concatenate(entries)
-    order = np.argsort(whole, kind="stable")
-    s = whole[order]
-    same = s[1:] == s[:-1]
-    again = np.zeros(len(s), bool)
+def _twice(entries: list[tuple[np.ndarray, ...]]) -> list[bytes]:
+    """Bit by entry: whether another block has it. Columns of each block, equal in all."""
+    columns = [np.concatenate(x) for x in zip(*entries)]
+    order = np.lexsort(columns) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
+    same = np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in columns])
+    again = np.zeros(len(order), bool)
     again[order[1:]] |= same
     again[order[:-1]] |= same
-    return [np.packbits(x).tobytes() if x.any() else b"" for x in np.split(again, np.cumsum([len(e) for e in entries])[:-1])]
+    return [np.packbits(x).tobytes() if x.any() else b"" for x in np.split(again, np.cumsum([len(e[0]) for e in entries])[:-1])]
 
 
 def answer_screen(blobs: list[bytes]) -> list[bytes]:
-    return _twice(blobs, "<u4")
+    return _twice([(np.frombuffer(x, "<u4"),) for x in blobs])
 
 
 def answer_strings(blobs: list[bytes]) -> list[bytes]:
-    return _twice(blobs, "<u8")
+    return _twice([(np.frombuffer(x, "<u8", len(x) // 16), np.frombuffer(x, "<u8", len(x) // 16, len(x) // 2)) for x in blobs])
+
+
+def _read_names(blob: bytes) -> tuple[np.ndarray, ...]:
+    plain = int(np.frombuffer(blob, "<u4", 1)[0])
+    n = plain + (len(blob) - 4 - 21 * plain) // 28
+    at = 4
+    out = []
+    for kind, size, count in (("<u4", 4, n), ("<u8", 8, n), ("<u8", 8, n), ("u1", 1, plain), ("<u8", 8, n - plain)):
+        out.append(np.frombuffer(blob, kind, count, at))
+        at += size * count
+    weight, place = np.zeros(n, np.uint8), np.zeros(n, np.uint64)
+    weight[:plain], place[plain:] = out[3], out[4]
+    return out[0], out[1], out[2], weight, place
 
 
 def answer_names(blobs: list[bytes]) -> list[bytes]:
-    """Two bits by entry: whether the context comes twice, and whether the name's contexts differ and this is its context's first place."""
-    sizes = [len(x) // 12 for x in blobs]
-    name = np.concatenate([np.frombuffer(x, "<u4", n) for x, n in zip(blobs, sizes)])
-    context = np.concatenate([np.frombuffer(x, "<u8", n, 4 * n) for x, n in zip(blobs, sizes)])
-    order = np.lexsort((context, name))  # stable: blocks stay in order
-    n, c = name[order], context[order]
+    """Two bits by entry: whether the context stands at two places, and whether the name's contexts differ and this entry's strings stand for its context.
+
+    Those of a context's first place do, or of all its places if one is near a cut, as its strings are not all one piece's own.
+    """
+    read = [_read_names(x) for x in blobs]
+    name, context, other, weight, place = (np.concatenate(x) for x in zip(*read))
+    order = np.lexsort((place, other, context, name)) if place.any() else np.lexsort((other, context, name))  # stable: blocks stay in order
+    n, c, o, w, p = name[order], context[order], other[order], weight[order], place[order]
     other_name = np.ones(len(n), bool)
     other_name[1:] = n[1:] != n[:-1]
     first = other_name.copy()
-    first[1:] |= c[1:] != c[:-1]
-    same = ~first[1:]
-    again = np.zeros(len(n), bool)
-    again[1:] |= same
-    again[:-1] |= same
+    first[1:] |= (c[1:] != c[:-1]) | (o[1:] != o[:-1])
+    of = np.cumsum(first) - 1
+    new_place = (p > 0) & (first | np.concatenate([[True], p[1:] != p[:-1]]))
+    again = (np.bincount(of, w) + np.bincount(of, new_place))[of] >= 2
+    cut = (np.bincount(of, p > 0) > 0)[of]
     group = np.cumsum(other_name) - 1
     several = np.bincount(group, first)[group] > 1
     bits = np.empty((2, len(n)), bool)
-    bits[0, order], bits[1, order] = again, several & first
-    cuts = np.cumsum(sizes)[:-1]
+    bits[0, order], bits[1, order] = again, several & (first | ~again | cut)
+    cuts = np.cumsum([len(r[0]) for r in read])[:-1]
     return [np.packbits(np.concatenate([x, y])).tobytes() if x.any() or y.any() else b"" for x, y in zip(np.split(bits[0], cuts), np.split(bits[1], cuts))]
 
 
@@ -308,6 +360,8 @@ _NAMES = ["bucket", "block", "kind", "blob"]
 _TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
 #: Kinds of rows: where a block is, what is known of it, entries (and what is answered to them).
 PLACE, STATE, ENTRIES = 0, 1, 2
+#: Numbers of blocks that are pieces have this bit.
+PIECES = 1 << 62
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -316,7 +370,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+    return [x or b"" for x in batch.column("text").to_pylist()]
+
+
+def cut(size: int) -> list[tuple[int, int]]:
+    """First and one past the last string start of each piece of a text; one piece where it stays whole."""
+    n = max(1, (size + PIECE // 4) // PIECE) if size > PIECE + PIECE // 4 else 1
+    at = [size * k // n for k in range(n + 1)]
+    return list(zip(at, at[1:]))
 
 
 def _write_blocks(folder: str, buckets: int) -> Callable:
@@ -327,9 +388,9 @@ def _write_blocks(folder: str, buckets: int) -> Callable:
         name, block, at, out = uuid.uuid4().hex, TaskContext.get().partitionId() << 24, 0, None
         held: list[pa.RecordBatch] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush(rows: list[pa.RecordBatch], piece: list | None = None) -> pa.RecordBatch:
             nonlocal block, at, out
-            table = pa.Table.from_batches(held).combine_chunks()
+            table = pa.Table.from_batches(rows).combine_chunks()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_table(table)
@@ -338,28 +399,41 @@ def _write_blocks(folder: str, buckets: int) -> Callable:
                 system.create_dir(base, recursive=True)
                 out = system.open_output_stream(f"{base}/{name}", compression=None)
             out.write(body)
-            place = json.dumps([name, at, body.size]).encode()
-            rows = [(block % buckets, block, PLACE, place)]
-            _, keys, _ = screen(Bytes(_texts(table.to_batches()[0])), buckets)
-            rows += [(k, block, ENTRIES, x.tobytes()) for k, (x,) in _by_bucket(keys, keys.astype("<u4"))]
+            number = block | PIECES if piece else block
+            place = json.dumps([name, at, body.size, piece]).encode()
+            sent = [(number % buckets, number, PLACE, place)]
+            _, keys, _ = screen(Bytes(_texts(table.to_batches()[0]), piece and tuple(piece[:4])), buckets)
+            sent += [(k, number, ENTRIES, x.tobytes()) for k, (x,) in _by_bucket(keys, keys.astype("<u4"))]
             block, at = block + 1, at + body.size
-            held.clear()
-            return _batch(rows)
+            return _batch(sent)
 
         size = 0
         for batch in batches:
-            lengths = np.diff(np.frombuffer(batch.column("text").buffers()[1], np.int32, len(batch) + 1, 4 * batch.column("text").offset)) if pa.types.is_string(batch.column("text").type) and batch.column("text").buffers()[1] else np.array([len(x) for x in _texts(batch)])
+            text = batch.column("text").cast(pa.binary())
+            batch = batch.set_column(batch.schema.get_field_index("text"), "text", text)
             start = 0
-            for k, n in enumerate(lengths.tolist()):
+            for k, n in enumerate(pc.fill_null(pc.binary_length(text), 0).to_pylist()):
+                bounds = cut(n)
+                if len(bounds) > 1:
+                    if k > start:
+                        held.append(batch.slice(start, k - start))
+                    start, row, own = k + 1, batch.slice(k, 1), text[k].as_py()
+                    origin = block * 0x9E3779B97F4A7C15 & (1 << 62) - 1  # the same in any attempt
+                    for number, (s, e) in enumerate(bounds):
+                        low, high = max(0, s - MODULUS), min(n, e + MODULUS + LENGTH)
+                        part = row.set_column(row.schema.get_field_index("text"), "text", pa.array([own[low:high]], pa.binary()))
+                        yield flush([part], [origin, low, s - low, e - low, number, n])
+                    continue
                 size += n
                 if size >= BLOCK:
                     held.append(batch.slice(start, k + 1 - start))
                     start, size = k + 1, 0
-                    yield flush()
-            if start < len(lengths):
+                    yield flush(held)
+                    held.clear()
+            if start < batch.num_rows:
                 held.append(batch.slice(start))
         if held:
-            yield flush()
+            yield flush(held)
         if out is not None:
             out.close()
 
@@ -395,6 +469,11 @@ def _answer(how: Callable[[list[bytes]], list[bytes]]) -> Callable:
     return run
 
 
+def _stored(body) -> pa.RecordBatch:
+    with pa.ipc.open_stream(body) as reader:
+        return reader.read_all().combine_chunks().to_batches()[0]
+
+
 def _each_block(folder: str, do: Callable) -> Callable:
     """Rows sorted by block, kind and bucket: read each block and do the rest with what came for it."""
 
@@ -404,12 +483,11 @@ def _each_block(folder: str, do: Callable) -> Callable:
 
         def flush():
             nonlocal file, opened
-            name, at, size = json.loads(place)
+            name, at, size, piece = json.loads(place)
             if opened != name:
                 file, opened = system.open_input_file(f"{base}/{name}"), name
-            with pa.ipc.open_stream(file.read_at(size, at)) as reader:
-                table = reader.read_all().combine_chunks()
-            return do(table.to_batches()[0], now, place, state, rows)
+            batch = _stored(file.read_at(size, at))
+            return do(batch, Bytes(_texts(batch), piece and tuple(piece[:4])), now, place, state, rows)
 
         for batch in batches:
             for bucket, block, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
@@ -464,50 +542,70 @@ def dedup_suffixes(docs: DataFrame, folder: str | None = None, carry: tuple[str,
     def blocks(rows: DataFrame) -> DataFrame:
         return rows.repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket")
 
-    def to_names(batch, block, place, state, rows):
-        b = Bytes(_texts(batch))
+    def to_names(batch, b, block, place, state, rows):
         candidate = candidates(b, buckets, rows)
         out = [(block % buckets, block, PLACE, place), (block % buckets, block, STATE, _pack(_runs(candidate)))]
         at = sampled(b, candidate) if candidate.any() else np.zeros(0, np.int64)
         if len(at):
-            key, context, _, _ = names(b, at, block, buckets)
-            out += [(k, block, ENTRIES, x.tobytes() + c.tobytes()) for k, (x, c) in _by_bucket(key, key.astype("<u4"), context.astype("<u8"))]
+            out += [(k, block, ENTRIES, blob) for k, blob in Names(b, at, block, buckets).blobs()]
         yield _batch(out)
 
-    def to_strings(batch, block, place, state, rows):
-        b = Bytes(_texts(batch))
+    def to_strings(batch, b, block, place, state, rows):
         repeated, open_ = split(b, _mask(_unpack(state)[0], b.n), block, buckets, rows)
         out = [(block % buckets, block, PLACE, place), (block % buckets, block, STATE, _pack(_runs(repeated), _runs(open_)))]
         if open_.any():
-            _, key, h, _, _ = strings(b, open_, buckets)
-            out += [(k, block, ENTRIES, x.tobytes()) for k, (x,) in _by_bucket(key, h.astype("<u8"))]
+            _, key, h, g, _, _ = strings(b, open_, buckets)
+            out += [(k, block, ENTRIES, x.tobytes() + y.tobytes()) for k, (x, y) in _by_bucket(key, h.astype("<u8"), g.astype("<u8"))]
         yield _batch(out)
 
     kept = ["doc_id", *carry]
     result = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans", "kept_text"] if with_text else [])]
 
-    def to_results(batch, block, place, state, rows):
-        b = Bytes(_texts(batch))
-        repeated, open_ = (_mask(r, b.n) for r in _unpack(state))
-        gone = covered(b, merged(b, repeated, open_, buckets, rows))
-        columns: list[list] = [[] for _ in result]
-        texts = batch.column("text")
-        for k, (s, e) in enumerate(zip((b.ends - b.sizes).tolist(), b.ends.tolist())):
-            own, mask = b.raw[s:e], gone[s:e]
-            spans = _runs(mask) if mask.any() else np.zeros(0, np.int32)
-            row = [e - s, int(mask.sum()), len(spans) // 2, hashlib.sha256(own[~mask].tobytes() if len(spans) else own.tobytes()).hexdigest()]
-            if with_text:
-                if len(spans):
-                    starts = np.flatnonzero((own & 0xC0) != 0x80)
-                    cut = np.repeat(np.minimum.reduceat(mask, starts), np.diff(np.concatenate([starts, [len(own)]])))
-                    text = own[~cut].tobytes().decode("utf-8")
-                else:
-                    text = texts[k].as_py()
-                row += [spans.reshape(-1, 2).tolist(), text]
-            for column, value in zip(columns, row):
-                column.append(value)
+    def row_of(own: np.ndarray, gone: np.ndarray, is_null: bool) -> list:
+        spans = _runs(gone) if gone.any() else np.zeros(0, np.int32)
+        row = [len(own), int(gone.sum()), len(spans) // 2, hashlib.sha256(own[~gone].tobytes() if len(spans) else own.tobytes()).hexdigest()]
+        if with_text:
+            if len(spans):
+                starts = np.flatnonzero((own & 0xC0) != 0x80)
+                own = own[~np.repeat(np.minimum.reduceat(gone, starts), np.diff(np.concatenate([starts, [len(own)]])))]
+            row += [spans.reshape(-1, 2).tolist(), None if is_null else own.tobytes().decode("utf-8")]
+        return row
+
+    def results(batch: pa.RecordBatch, rows: list[list]) -> pa.RecordBatch:
         kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.list_(pa.int32())), pa.string()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, t) for c, t in zip(columns, kinds))], [*kept, *result])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(list(c), t) for c, t in zip(zip(*rows), kinds))], [*kept, *result])
+
+    def to_results(batch, b, block, place, state, rows):
+        repeated, open_ = (_mask(r, b.n) for r in _unpack(state))
+        gone = covered(b.n, merged(b, repeated, open_, buckets, rows))
+        null = batch.column("text").is_null().to_pylist()
+        yield results(batch, [row_of(b.raw[s:e], gone[s:e], x) for s, e, x in zip((b.ends - b.sizes).tolist(), b.ends.tolist(), null)])
+
+    def to_piece(batch, b, block, place, state, rows):
+        repeated, open_ = (_mask(r, b.n) for r in _unpack(state))
+        piece = json.loads(place)[3]
+        runs = _runs(merged(b, repeated, open_, buckets, rows)).astype(np.int64) + b.start
+        yield pa.RecordBatch.from_arrays([pa.array([piece[0]]), pa.array([piece[4]], pa.int32()), pa.array([place], pa.binary()), pa.array([runs.tolist()], pa.list_(pa.int64()))], ["origin", "piece", "place", "runs"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by text and piece: read the pieces, end to end, and give the whole text's result."""
+        system, base = _open(folder)
+        raw, repeated, at = None, None, 0
+        for batch in batches:
+            for place, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name, offset, size, (_, low, first, last, _, n) = json.loads(place)
+                with system.open_input_file(f"{base}/{name}") as file:
+                    own = _stored(file.read_at(size, offset))
+                if raw is None:
+                    raw, repeated, at = np.empty(n, np.uint8), np.zeros(n, bool), 0
+                part = np.frombuffer(own.column("text")[0].as_py(), np.uint8)[first:last]
+                raw[at : at + len(part)] = part
+                at += len(part)
+                for s, e in zip(runs[0::2], runs[1::2]):
+                    repeated[s:e] = True
+                if at == n:
+                    yield results(own, [row_of(raw, covered(n, repeated), False)])
+                    raw = None
 
     sent = docs.select("text", *kept).mapInArrow(_write_blocks(folder, buckets), ROUND)
     known = answered(sent, answer_screen, "screen")
@@ -517,7 +615,10 @@ def dedup_suffixes(docs: DataFrame, folder: str | None = None, carry: tuple[str,
     schema = ", ".join(
         [*(f"{c} {types[c]}" for c in kept), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["spans array<array<int>>, kept_text string"] if with_text else [])]
     )
-    return blocks(known).mapInArrow(_each_block(folder, to_results), schema)
+    short = blocks(known.where(F.col("block") < PIECES)).mapInArrow(_each_block(folder, to_results), schema)
+    pieces = blocks(known.where(F.col("block") >= PIECES)).mapInArrow(_each_block(folder, to_piece), "origin long, piece int, place binary, runs array<long>")
+    long = pieces.repartition(parts, "origin").sortWithinPartitions("origin", "piece").select("place", "runs").mapInArrow(joined, schema)
+    return short.unionByName(long)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

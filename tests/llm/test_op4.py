@@ -53,9 +53,11 @@ def test_cover():
     assert {(a - b) % op.MODULUS for a in op.COVER for b in op.COVER} == set(range(op.MODULUS))
 
 
-@pytest.mark.parametrize("seed, block", [(1, 1 << 20), (2, 3000), (3, 1), (4, 20_000)])
-def test_against_brute_force(spark, tmp_path, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed, block, piece", [(1, 1 << 20, 1 << 20), (2, 3000, 500), (3, 1, 1 << 20), (4, 20_000, 700), (5, 2000, 300)])
+def test_against_brute_force(spark, tmp_path, monkeypatch, seed, block, piece):
+    """Texts in one block, in many, and cut into pieces."""
     monkeypatch.setattr(op, "BLOCK", block)
+    monkeypatch.setattr(op, "PIECE", piece)
     texts = corpus(seed)
     rows = [Row(doc_id=i, text=t, block="clash", bucket=1, kind=2, blob="x", n_bytes=-1) for i, t in enumerate(texts)]
     got = op.dedup_suffixes(spark.createDataFrame(rows).repartition(3), with_text=True, carry=("blob",)).collect()
@@ -83,8 +85,56 @@ def test_nulls_repeats_and_empty(spark):
     assert op.dedup_suffixes(df.where("false")).collect() == []
 
 
-def test_very_long_document(spark):
+def test_very_long_document(spark, monkeypatch):
+    monkeypatch.setattr(op, "PIECE", 1 << 16)
     rng = np.random.default_rng(0)
     body = "".join(map(chr, rng.integers(97, 123, 300_000)))
     df = spark.createDataFrame([(1, body), (2, body[1000:1300] + "tail")], "doc_id long, text string")
     assert {r.doc_id: (r.n_removed, r.n_spans) for r in op.dedup_suffixes(df).collect()} == {1: (300, 1), 2: (300, 1)}
+
+
+@pytest.mark.parametrize("shift", [0, 1, 17, 30, 31, 199])
+def test_pieces(monkeypatch, shift):
+    """A text's cuts make no string repeated, and repeated strings at cuts are found, in one process."""
+    monkeypatch.setattr(op, "PIECE", 400)
+    rng = np.random.default_rng(shift)
+    text = bytes(rng.integers(97, 123, 4000, dtype=np.uint8))
+    at = op.cut(4000)[3][0] - 100 - shift
+    other = text[at : at + 230] + bytes(rng.integers(97, 123, 900, dtype=np.uint8)) + text[at + 60 : at + 290]
+
+    def removed(texts):
+        blocks = []
+        for origin, t in enumerate(texts):
+            for s, e in op.cut(len(t)):
+                low = max(0, s - op.MODULUS)
+                blocks.append((op.Bytes([t[low : min(len(t), e + op.MODULUS + L)]], (origin, low, s - low, e - low)), origin))
+
+        def ask(sent, how):
+            by, back = {}, [{} for _ in blocks]
+            for k, own in enumerate(sent):
+                for bucket, blob in own:
+                    by.setdefault(bucket, []).append((k, blob))
+            for bucket, own in by.items():
+                for (k, _), bits in zip(own, how([x for _, x in own])):
+                    if bits:
+                        back[k][bucket] = bits
+            return back
+
+        rows = ask([[(k, x.tobytes()) for k, (x,) in op._by_bucket(keys, keys.astype("<u4"))] for _, keys, _ in (op.screen(b, 4) for b, _ in blocks)], op.answer_screen)
+        candidate = [op.candidates(b, 4, r) for (b, _), r in zip(blocks, rows)]
+        rows = ask([list(op.Names(b, op.sampled(b, c), k, 4).blobs()) if c.any() else [] for k, ((b, _), c) in enumerate(zip(blocks, candidate))], op.answer_names)
+        parts = [op.split(b, c, k, 4, r) for k, ((b, _), c, r) in enumerate(zip(blocks, candidate, rows))]
+        sent = []
+        for (b, _), (_, open_) in zip(blocks, parts):
+            _, key, h, g, _, _ = op.strings(b, open_, 4)
+            sent.append([(k, x.tobytes() + y.tobytes()) for k, (x, y) in op._by_bucket(key, h, g)])
+        rows = ask(sent, op.answer_strings)
+        marks = [np.zeros(len(t), bool) for t in texts]
+        for (b, origin), (repeated, open_), r in zip(blocks, parts, rows):
+            found = np.flatnonzero(op.merged(b, repeated, open_, 4, r)) + b.start
+            marks[origin][found] = True
+        return [int(op.covered(len(t), m).sum()) for t, m in zip(texts, marks)]
+
+    assert removed([text]) == [0]
+    for texts in ([text, other], [text + other], [text, text], [other * 3]):
+        assert removed(texts) == [w[1] for w in brute(texts)]
