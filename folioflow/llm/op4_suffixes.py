@@ -623,3 +623,20 @@ def dedup_suffixes(docs: DataFrame, folder: str | None = None, carry: tuple[str,
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(common.table(spark, sf_dir, "documents"))
+
+
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT r, unnest(range(1, n - 198)) AS i FROM d WHERE n >= 200),
+h AS (SELECT s.r, i, md5_number(array_slice(b, i, i + 199)) AS h FROM s JOIN d ON s.r = d.r),
+k AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+p AS (SELECT r, i FROM h SEMI JOIN k ON h.h = k.h),
+q AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200, true) AS new FROM p),
+g AS (SELECT r, i, count(*) FILTER (WHERE new) OVER (PARTITION BY r ORDER BY i) AS run FROM q),
+v AS (SELECT r, min(i) AS a, max(i) + 199 AS z FROM g GROUP BY r, run),
+e AS (SELECT r, a, z FROM v UNION ALL SELECT r, n + 1, n + 1 FROM d),
+o AS (SELECT e.r, a, z, substr(hex(b), 2 * coalesce(lag(z) OVER (PARTITION BY e.r ORDER BY a), 0) + 1, 2 * (a - 1 - coalesce(lag(z) OVER (PARTITION BY e.r ORDER BY a), 0))) AS kept FROM e JOIN d ON e.r = d.r)
+SELECT any_value(doc_id) AS doc_id, any_value(n) AS n_bytes,
+       coalesce(CAST(sum(z - a + 1) FILTER (WHERE a <= n) AS BIGINT), 0) AS n_removed, count(*) - 1 AS n_spans, sha256(unhex(string_agg(kept, '' ORDER BY a))) AS kept_sha256
+FROM o JOIN d ON o.r = d.r GROUP BY d.r
+"""

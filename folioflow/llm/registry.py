@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_suffix_dedup": op4_suffixes.ORACLE,
     "op6_embeddings": op6_hnsw.ORACLE,
     "op8_warc": op8_warc.ORACLE,
     "op9_line_dedup": op9_lines.ORACLE,
