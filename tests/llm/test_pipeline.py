@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from folioflow.llm import op10_toxicity
-from tests.llm import test_op3, test_op4, test_op7, test_op9, test_op10
+from tests.llm import test_near_copies, test_op4, test_op7, test_op9, test_op10
 
 
 @pytest.fixture(scope="module")
@@ -45,8 +45,7 @@ def test_stages_against_brute_force(spark, corpus, tmp_path):
             now = {i: None if t is None and now[i] is None else t for i, _, _, t in test_op9.brute(sorted(now.items())) for _ in [0] if i in now}
             now = {i: (None if i == 900 else t) for i, t in now.items()}
         elif name == "simhash_dedup":
-            fp = {i: test_op3.plain(t) for i, t in now.items()}
-            group = test_op3.groups([(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3], fp)
+            group = test_near_copies.brute(now)
             now = {i: t for i, t in now.items() if group[i] == i}
         elif name == "suffix_dedup":
             raw = {i: (t or "").encode() for i, t in now.items()}
