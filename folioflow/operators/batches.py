@@ -43,18 +43,28 @@ def batch_status(batches: DataFrame, documents: DataFrame) -> DataFrame:
     return batches.select(F.col("id").alias("batch_id")).join(own, "batch_id", "left").select("batch_id", status_of(F.coalesce("statuses", none)).alias("status"))
 
 
-def list_batches(batches: DataFrame, documents: DataFrame, limit: int = 50, offset: int = 0, status: str | None = None, sort_by: str = "created_at", descending: bool = True, allow_partial: bool = False) -> tuple[DataFrame, DataFrame]:
-    """A page of batches with their number of documents, and the total, which no filter changes."""
+#: Ids of a page that are broadcast at most.
+MOST_BROADCAST = 100_000
+
+
+def list_batches(batches: DataFrame, documents: DataFrame, limit: int | None = 50, offset: int = 0, status: str | None = None, sort_by: str = "created_at", descending: bool = True, allow_partial: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A page of batches with their number of documents, and the total, which no filter changes. Without a limit all from ``offset`` on."""
     if sort_by not in SORT_COLUMNS:
         raise ValueError(f"sort_by must be one of {SORT_COLUMNS}")
     if status is not None and status not in (*LIST_STATUSES, *(("partial",) if allow_partial else ())):
         raise ValueError(f"unknown status {status!r}")
-    if limit < 0 or offset < 0:
+    if (limit or 0) < 0 or offset < 0:
         raise ValueError("limit and offset must not be negative")
     chosen = batches.where(F.col("status") == status) if status is not None else batches
     order = [F.col(sort_by).desc() if descending else F.col(sort_by).asc(), F.col("id").asc()]
-    page = chosen.orderBy(*order).offset(offset).limit(limit)  # before the join: only the page's batches are counted
-    counts = documents.groupBy("batch_id").agg(F.count("*").alias("total_documents"))
+    page = chosen.orderBy(*order).offset(offset)
+    own = documents
+    if limit is not None:
+        # only the page's batches are counted: its ids, as many as the limit, filter the documents before they are shuffled
+        page = page.limit(limit)
+        ids = page.select(F.col("id").alias("batch_id"))
+        own = documents.join(F.broadcast(ids) if limit <= MOST_BROADCAST else ids, "batch_id", "left_semi")
+    counts = own.groupBy("batch_id").agg(F.count("*").alias("total_documents"))
     rows = page.join(counts, page.id == counts.batch_id, "left").drop("batch_id").withColumn("total_documents", F.coalesce("total_documents", F.lit(0)))
     return rows.orderBy(*order), batches.agg(F.count("*").alias("total"))
 

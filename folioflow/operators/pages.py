@@ -110,3 +110,36 @@ def best_rotation(pages: DataFrame, angles: tuple[int, ...] = (0, 180, 90, 270))
     rank = sum((F.when(F.col("angle") == a, k).otherwise(0) for k, a in enumerate(angles)), F.lit(0))
     best = F.max_by(F.struct("angle", "text"), F.struct(T.ocr_score(F.coalesce("text", F.lit(""))), -rank))
     return pages.groupBy("file_id", "page").agg(best.alias("b")).select("file_id", "page", "b.*")
+
+
+def _has_month(c: Column) -> Column:
+    return c.rlike("|".join(V.MONTHS))
+
+
+def date_hints(text: Column) -> Column:
+    """Phrases of an OCR text that may hold its date, in order, each once: those of a date's shape, then lines with a month, a year and a day."""
+    low = F.translate(F.lower(F.coalesce(text, F.lit(""))), "áéíóúñ", "aeioun")
+    trimmed = lambda c: F.btrim(T.spaced(c), F.lit(V.DATE_HINT_EDGES))
+    found = [F.regexp_extract_all(low, F.lit("(?sU)" + p.replace("MONTHS", "|".join(V.MONTHS))), F.lit(1)) for p in V.DATE_HINTS]
+    phrases = F.filter(F.transform(F.concat(*found), trimmed), lambda x: F.char_length(x) >= V.DATE_HINT_MIN)
+    year = lambda c: c.rlike(V.DATE_HINT_YEAR)
+    anchored = lambda c: F.contains(c, F.lit(V.DATE_HINT_ANCHOR)) & (_has_month(c) | year(c))
+    lines = F.transform(F.split(low, "\r\n|[\n\r\x0b\f\x1c-\x1e\u0085\u2028\u2029]"), T.spaced)
+    dated = F.filter(lines, lambda c: (_has_month(c) & year(c) & c.rlike("(?U)" + V.DATE_HINT_DAY)) | anchored(c))
+    return F.array_distinct(F.concat(phrases, F.transform(dated, trimmed)))
+
+
+def footer_hints(readings: Column) -> Column:
+    """The first two date hints of a footer's OCR readings (an array of texts in order of trial), a line each.
+
+    Readings after the first that has a month and a year in one hint, or with which two hints are found, are not looked at.
+    """
+    strong = lambda hints: F.exists(hints, lambda h: _has_month(h) & h.rlike(V.DATE_HINT_YEAR))
+    start = F.struct(F.array().cast("array<string>").alias("hints"), F.lit(False).alias("done"))
+
+    def step(state: Column, hints: Column) -> Column:
+        both = F.concat(state["hints"], hints)
+        return F.when(state["done"], state).otherwise(F.struct(both.alias("hints"), (strong(hints) | (F.size(both) >= V.DATE_HINTS_KEPT)).alias("done")))
+
+    read = F.transform(F.coalesce(readings, F.array().cast("array<string>")), date_hints)
+    return F.array_join(F.slice(F.array_distinct(F.aggregate(read, start, step)["hints"]), 1, V.DATE_HINTS_KEPT), "\n")

@@ -43,9 +43,18 @@ def metrics(spark, sf_dir):
     return B.metrics(documents(spark, sf_dir))
 
 
-@register("agg06_jn01_documents_per_batch", f"{_BD} SELECT b.id AS batch_id, count(d.id) AS total_documents FROM b LEFT JOIN (SELECT * FROM d WHERE id % 2 = 0) d ON d.batch_id = b.id GROUP BY b.id")
+#: All batches, and one without documents for each.
+_MORE = "SELECT id FROM b UNION ALL SELECT -1 - id FROM b"
+
+
+def _more(spark, sf_dir):
+    own = batches(spark, sf_dir)
+    return own.unionByName(own.withColumn("id", -1 - F.col("id")))
+
+
+@register("agg06_jn01_documents_per_batch", f"{_BD} SELECT b.id AS batch_id, count(d.id) AS total_documents FROM ({_MORE}) b LEFT JOIN d ON d.batch_id = b.id GROUP BY b.id")
 def per_batch(spark, sf_dir):
-    return B.documents_per_batch(batches(spark, sf_dir), documents(spark, sf_dir).where("id % 2 = 0"))
+    return B.documents_per_batch(_more(spark, sf_dir), documents(spark, sf_dir))
 
 
 @register(
@@ -71,12 +80,14 @@ def status_counts(spark, sf_dir):
 
 @register(
     "agg09_set03_sta03_batch_status",
-    f"""{_BD}, s AS (SELECT b.id AS batch_id, list_sort(list_distinct(list(d.status) FILTER (WHERE d.status IS NOT NULL))) AS s FROM b LEFT JOIN (SELECT * FROM d WHERE id % 3 <> 1) d ON d.batch_id = b.id GROUP BY b.id)
+    f"""{_BD}, s AS (SELECT b.id AS batch_id, list_sort(list_distinct(list(CASE WHEN d.batch_id % 7 = 0 THEN 'processed' WHEN d.id % 29 = 0 THEN 'processing' ELSE d.status END) FILTER (WHERE d.id IS NOT NULL))) AS s
+      FROM ({_MORE}) b LEFT JOIN d ON d.batch_id = b.id GROUP BY b.id)
     SELECT batch_id, CASE WHEN s IS NULL OR len(s) = 0 THEN 'failed' WHEN s = ['processed'] THEN 'completed' WHEN s = ['failed'] THEN 'failed'
-      WHEN list_contains(s, 'failed') AND list_contains(s, 'processed') THEN 'partial' ELSE 'pending' END AS status FROM s""",
+      WHEN list_contains(s, 'processing') THEN 'processing' WHEN list_contains(s, 'failed') AND list_contains(s, 'processed') THEN 'partial' ELSE 'pending' END AS status FROM s""",
 )
 def batch_status(spark, sf_dir):
-    return B.batch_status(batches(spark, sf_dir), documents(spark, sf_dir).where("id % 3 <> 1"))
+    status = F.when(F.col("batch_id") % 7 == 0, "processed").when(F.col("id") % 29 == 0, "processing").otherwise(F.col("status"))
+    return B.batch_status(_more(spark, sf_dir), documents(spark, sf_dir).withColumn("status", status))
 
 
 @register(

@@ -29,14 +29,15 @@ _MANIFEST = """
 m AS (SELECT CAST(doc_id + 2 AS INTEGER) AS manifest_row, lower(lang) AS match_name, CASE WHEN doc_id % 9 = 0 THEN -1 ELSE n_chars END AS match_size,
   doc_id % 3 <> 2 AS is_supported, CASE WHEN doc_id % 5 = 0 THEN 'ignorar' ELSE 'procesar' END AS flag FROM documents),
 n AS (SELECT *, CAST(row_number() OVER (PARTITION BY match_name, match_size ORDER BY manifest_row) - 1 AS INTEGER) AS match_seq FROM m),
-i AS (SELECT lower(lang) AS match_name, n_chars AS match_size, 'p/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS source_path FROM documents WHERE doc_id % 4 <> 0),
+i AS (SELECT lower(lang) AS match_name, CASE WHEN doc_id % 4 = 0 THEN n_chars + 1000000 ELSE n_chars END AS match_size, 'p/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS source_path FROM documents),
 x AS (SELECT *, CAST(row_number() OVER (PARTITION BY match_name, match_size ORDER BY source_path) - 1 AS INTEGER) AS match_seq FROM i)
 """
 
 
 def _index(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 4 <> 0")
-    rows = d.select(F.lower("lang").alias("match_name"), F.col("n_chars").alias("match_size"), F.concat(F.lit("p/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("source_path"))
+    d = table(spark, sf_dir, "documents")
+    size = F.when(F.col("doc_id") % 4 == 0, F.col("n_chars") + 1_000_000).otherwise(F.col("n_chars"))  # sizes that no manifest row has
+    rows = d.select(F.lower("lang").alias("match_name"), size.alias("match_size"), F.concat(F.lit("p/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("source_path"))
     return C.numbered(rows, "source_path")
 
 

@@ -22,12 +22,19 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "folio
     return builder.getOrCreate()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the folder that the cluster names in ``spark.checkpoint.dir``: its plan and lineage end there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, which the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is set here only where the session leaves it unset, as in local use.
+    It is set here only where the session leaves it unset, as in local use.
     """
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(f"file:/tmp/checkpoints/{spark.sparkContext.applicationId}")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = f"file:/tmp/checkpoints/{spark.sparkContext.applicationId}"
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the shared folder: its plan and lineage end there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

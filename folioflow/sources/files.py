@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import text as T
+from ..operators import pages
+from . import office
 
 TRUTH = "doc_id string, filename string, source_type string, is_scanned boolean, tipo_documento_expected string, rfc_expected string, nombre_proveedor_expected string, fecha_documento_expected string, fecha_documento_iso string, split string, notes string"
 
@@ -104,20 +106,30 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("encoding", "UTF-8").csv(path, header=True)
 
 
-def write_workbook(sheets: dict[str, DataFrame], path: str) -> bool:
-    """Sheets of bounded size to one workbook on the driver; False where no writer is installed."""
-    if not find_spec("openpyxl"):
-        return False
-    with pd.ExcelWriter(path, engine="openpyxl") as book:
-        for name, df in sheets.items():
-            df.toPandas().to_excel(book, sheet_name=name, index=False)
-    return True
+def store_suppliers(loaded: DataFrame, path: str, replace: bool = True) -> None:
+    """Suppliers to their stored table: all of it is replaced in one step, or rows are added to it."""
+    old = None if replace else table_or_none(loaded.sparkSession, path)
+    replace_table(loaded if old is None else old.unionByName(loaded.select(*old.columns)), path)
+
+
+def bootstrap(spark: SparkSession, path: str, load: Callable[[], DataFrame | None]) -> str:
+    """Load suppliers where the stored table is missing or empty: ``loaded``, ``already_loaded`` or ``file_not_found``."""
+    old = table_or_none(spark, path)
+    if old is not None and not old.isEmpty():
+        return "already_loaded"
+    found = load()
+    if found is None:
+        return "file_not_found"
+    store_suppliers(found, path)
+    return "loaded"
 
 
 # texts of files
 
 #: What an adapter needs, by kind of file.
-NEEDS = {"pdf": "pdfplumber", "xlsx": "openpyxl", "xlsm": "openpyxl", "xls": "xlrd", "xlsb": "pyxlsb", "docx": "docx", "msg": "extract_msg", **dict.fromkeys(V.IMAGE_TYPES, "pytesseract")}
+NEEDS = {"docx": "zipfile", "pdf": "pdfplumber", "xls": "xlrd", "xlsb": "pyxlsb", "msg": "extract_msg", **dict.fromkeys(V.IMAGE_TYPES, "pytesseract")}
+#: Kinds whose texts are plans over their cells.
+BOOKS = ("xlsx", "xlsm")
 _ADAPTERS: dict[str, Callable[[bytes], str]] = {}
 
 
@@ -133,14 +145,7 @@ def adapter(*kinds: str):
 
 @adapter("docx")
 def _docx(raw: bytes) -> str:
-    import io
-
-    import docx
-
-    document = docx.Document(io.BytesIO(raw))
-    rows = [" | ".join(c.text.strip() for c in row.cells if c.text.strip()) for t in document.tables for row in t.rows]
-    edges = [p.text for s in document.sections for part in (s.header, s.footer) for p in part.paragraphs]
-    return "\n".join(x.strip() for x in (*(p.text for p in document.paragraphs), *rows, *edges) if x.strip())
+    return "\n".join(office.document_lines(raw))
 
 
 @adapter("pdf")
@@ -154,7 +159,14 @@ def _pdf(raw: bytes) -> str:
 
 
 def texts(files: DataFrame) -> DataFrame:
-    """``path, text, error_category`` of ``files (path, content)``; a kind without adapter or library has an error, not a text."""
+    """``path, text, error_category`` of ``files (path, content)``; a kind without adapter or library has an error, not a text.
+
+    Workbooks are rendered from their cells; one without any, as a broken one, has an error.
+    """
+    is_book = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*BOOKS)
+    books = files.where(is_book)
+    rendered = pages.workbook_text(office.cells(books)).select(F.col("file_id").alias("path"), "text")
+    of_books = books.select("path").join(rendered, "path", "left").select("path", "text", F.when(F.col("text").isNull(), "extraction_empty").alias("error_category"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -175,4 +187,5 @@ def texts(files: DataFrame) -> DataFrame:
                 out.append((path, text, error))
             yield pd.DataFrame(out, columns=["path", "text", "error_category"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, text string, error_category string")
+    others = files.where(~F.coalesce(is_book, F.lit(False))).select("path", "content").mapInPandas(run, "path string, text string, error_category string")
+    return others.unionByName(of_books)

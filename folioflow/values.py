@@ -57,6 +57,14 @@ MONTHS = {
 }
 MONTH_ABBREVIATIONS = {"ene": 1, "feb": 2, "mar": 3, "abr": 4, "may": 5, "jun": 6, "jul": 7, "ago": 8, "sep": 9, "set": 9, "oct": 10, "nov": 11, "dic": 12}
 
+# fixed values: date hints in OCR text, in lower case without accents; MONTHS stands for the names of months, joined by bars
+DATE_HINTS = (
+    r"(siendo\s+el\s+dia[\s\._:-]*[0-9oils]{1,2}[\s\._:-]*(?:de)?[\s\._:-]*(?:MONTHS)[\s\._:-]*(?:de)?[\s\._:-]*(?:19|20)[0-9oils]{2})",
+    r"\b([0-9oils]{1,2}[\s\._:-]*de[\s\._:-]*(?:MONTHS)[\s\._:-]*de[\s\._:-]*(?:19|20)[0-9oils]{2})\b",
+)
+DATE_HINT_YEAR, DATE_HINT_DAY, DATE_HINT_ANCHOR = r"(19|20)[0-9oils]{2}", r"\b[0-9oils]{1,2}\b", "siendo el dia"
+DATE_HINT_EDGES, DATE_HINT_MIN, DATE_HINTS_KEPT = " .,:;_-", 12, 2
+
 # fixed values: date shapes. Kind of builder, base score and pattern, in order of precedence
 NUMERIC_DATES = (
     r"\b(\d{1,2}/\d{1,2}/\d{4})\b", r"\b(\d{1,2}/\d{1,2}/\d{2})\b", r"\b(\d{1,2}-\d{1,2}-\d{4})\b", r"\b(\d{1,2}-\d{1,2}-\d{2})\b",
