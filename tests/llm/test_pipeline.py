@@ -76,3 +76,24 @@ def test_run_is_the_stages(spark, corpus):
         by_doc[r.doc_id] += r.length
     assert set(by_doc) <= {d[0] for d in docs} and 200 < len(by_doc) < 420
     assert np.sum(list(by_doc.values())) > 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null rows, repeated rows, empty and very long texts, clashing columns; then an empty table."""
+    long = " ".join(f"word{i}" for i in range(60_000))
+    own = [(None, None, None, None, None), (None, "", "en", "s", 0), (1, "one text of five words here", "en", "s", 27), (1, "one text of five words here", "en", "s", 27), (2, long, "en", "s", len(long)), (3, None, "de", "s", None), (4, "", "en", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, tk string, key long, text_key int, ids string, component long"
+    docs = spark.createDataFrame([(*r, "x", 7, 8, "y", 9) for r in own], schema)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = {name: stage(spark, docs, str(tmp_path)).collect() for name, stage in corpus_pipeline.STAGES}
+    show = lambda rows: sorted((str(r.doc_id), len(r.text or "")) for r in rows)
+    every = sorted((str(r[0]), len(r[1] or "")) for r in own)
+    assert show(texts["toxicity"]) == show(texts["line_dedup"]) == every
+    # one of the repeated rows, and one of the two texts without words that have an id; rows without an id stay
+    assert show(texts["simhash_dedup"]) == [("1", 27), ("2", len(long)), ("3", 0), ("None", 0), ("None", 0)]
+    assert show(texts["suffix_dedup"]) == every  # repeated rows are shorter than a repeated string has to be
+    tokens = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert sum(r.length for r in texts["packing"]) == sum(len(tokens.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in own)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.where("false"), str(tmp_path))
+        assert none.collect() == [] and (name == "packing" or none.columns == list(corpus_pipeline.COLUMNS))
