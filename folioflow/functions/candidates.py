@@ -272,12 +272,16 @@ def ratio(a: str, b: str) -> float:
     """Twice the longest common subsequence over both lengths; 1 for two empty strings."""
     if not a and not b:
         return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 2.0 * row[-1] / (len(a) + len(b))
+    # a bit of ``rows`` for each place of ``a``; those cleared at the end count the longest common subsequence
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    rows = full
+    for y in b:
+        met = rows & places.get(y, 0)
+        rows = (rows + met | rows - met) & full
+    return 2.0 * (len(a) - rows.bit_count()) / (len(a) + len(b))
 
 
 def token_sort(a: str, b: str) -> float:

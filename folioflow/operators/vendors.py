@@ -42,11 +42,55 @@ def _first_by(vendors: DataFrame, key: str) -> DataFrame:
     return vendors.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(F.col(key).alias("k")).agg(F.min_by(F.struct("id", "vendor_name", "rfc"), "id").alias("v"))
 
 
+def _may_reach(a: Column, b: Column) -> Column:
+    """Whether names with the same first word may be similar enough, by their lengths; false only where they cannot.
+
+    A ratio is at most twice the shorter length over both. Without containment both ratios have to make up for it.
+    """
+    shorter, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
+    within = F.contains(a, b) | F.contains(b, a)
+    bound = lambda *given: (V.LEAST_SIMILARITY - sum(V.SIMILARITY[k] for k in given)) / (V.SIMILARITY["ratio"] + V.SIMILARITY["token_sort"]) - 1e-9
+    return (2 * shorter >= bound("same_first", "token_set") * both) | (within & (2 * shorter >= bound("same_first", "token_set", "contains") * both))
+
+
+def _gram_length(n: Column) -> Column:
+    """The largest power of two that is at most half of ``n``."""
+    return F.call_function("shiftleft", F.lit(1), F.length(F.bin(n)) - 2)
+
+
+def _contained(names: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs of ``names (normal, core)`` and ``others (other, v)`` with other first words that may be similar enough.
+
+    Without a common first word everything but containment adds up to 0.80, short of the least 0.82, so one name contains the other. It is
+    then at least 0.76 as long, as both ratios are twice its length over both lengths; it leaves out less than a quarter of the longer one
+    and so holds the gram in the middle of it. The longer side sends that gram, the shorter all of its own of the lengths that fit.
+    """
+    ratios = V.SIMILARITY["ratio"] + V.SIMILARITY["token_sort"]
+    bound = (V.LEAST_SIMILARITY - V.SIMILARITY["token_set"] - V.SIMILARITY["contains"]) / ratios - 1e-9
+
+    def middle(rows: DataFrame, c: str) -> DataFrame:
+        n = F.length(c)
+        q = _gram_length(n)
+        return rows.where(n >= 4).withColumn("gram", F.substr(F.col(c), F.floor((n - q) / 2).cast("int") + 1, q))
+
+    def grams(rows: DataFrame, c: str) -> DataFrame:
+        n = F.length(c)
+        lengths = F.array_distinct(F.array(_gram_length(n), _gram_length(F.floor(n * 1.32).cast("int"))))
+        of = F.transform(lengths, lambda q: F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, q)))
+        return rows.where(n >= 4).withColumn("gram", F.explode(F.array_distinct(F.flatten(of))))
+
+    shorter, both = F.least(F.length("core"), F.length("other")), F.length("core") + F.length("other")
+    columns = ("normal", "core", "other", "v")
+    longer = middle(others, "other").join(grams(names, "core"), "gram").where(F.contains("other", "core") & (2 * shorter >= bound * both)).select(*columns)
+    less = middle(names, "core").join(grams(others, "other"), "gram").where(F.contains("core", "other") & (2 * shorter >= bound * both)).select(*columns)
+    return longer.unionByName(less)
+
+
 def matched_by_name(names: DataFrame, vendors: DataFrame) -> DataFrame:
     """The supplier of each of ``names (key, name)``: ``key, vendor_id, vendor_name, rfc, score, strategy``; only those found.
 
     Equal normal names, then equal core names, then the most similar core name of the suppliers with the
-    same first word; where no supplier has it, of all. Names are joined once each, however often they occur.
+    same first word; where no supplier has it, of all, by grams in place of all pairs. Names are joined once each, however often they occur.
     """
     asked = names.select("key", fields.match_name(F.col("name")).alias("normal"))
     forms = asked.where("normal <> ''").select("normal").distinct().withColumn("core", fields.core_name(F.col("normal")))
@@ -57,11 +101,9 @@ def matched_by_name(names: DataFrame, vendors: DataFrame) -> DataFrame:
     blocks = _first_by(vendors, "vendor_name_core").select(F.col("k").alias("other"), "v", word("k").alias("word"))
     everyone = vendors.select(F.coalesce("vendor_name_core", "vendor_name_normalized").alias("other"), F.struct("id", "vendor_name", "rfc").alias("v")).where("other <> ''")
     open_ = both.where("open").select("normal", "core", word("core").alias("word"))
-    near = open_.join(blocks, "word").select("normal", "core", "other", "v")
+    near = open_.join(blocks, "word").where(_may_reach(F.col("core"), F.col("other"))).select("normal", "core", "other", "v")
     rest = open_.join(blocks.select("word").distinct(), "word", "left_anti").select("normal", "core")
-    # the residue is compared with the whole dimension; Spark broadcasts it if its size allows
-    far = rest.join(everyone).select("normal", "core", "other", "v")
-    scored = near.unionByName(far).withColumn("score", fields.similarity(F.col("core"), F.col("other")))
+    scored = near.unionByName(_contained(rest, everyone)).withColumn("score", fields.similarity(F.col("core"), F.col("other")))
     least = F.when(F.size(F.split("core", " ")) <= 2, V.SHORT_NAME_MIN).otherwise(V.LONG_NAME_MIN)
     best = scored.groupBy("normal", "core").agg(F.max(F.struct(F.col("score"), (-F.col("v.id")).alias("o"), "v")).alias("b"))
     best = best.where((F.col("b.score") > 0) & (F.col("b.score") >= least)).select("normal", F.struct("b.v", F.bround("b.score", 4).alias("score")).alias("fuzzy"))

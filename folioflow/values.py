@@ -129,6 +129,7 @@ MATCH_LEADING = (
 MATCH_TRAILING = (r"(?i)\s+con\s+rfc\b.*$", r"(?i)\s+a\s+quien\b.*$", r"(?i)\s+representad[oa]\s+por\b.*$", r"(?i)\b(curp|cuenta|clabe|telefono|tel[eé]fono)\b.*$")
 SIMILARITY = {"ratio": 0.30, "token_sort": 0.30, "token_set": 0.20, "contains": 0.10, "same_first": 0.10}
 SHORT_NAME_MIN, LONG_NAME_MIN = 0.85, 0.82
+LEAST_SIMILARITY = min(SHORT_NAME_MIN, LONG_NAME_MIN)
 VENDOR_HEADERS = ("vendorname", "suppliername", "nombreproveedor", "nombrevendor", "proveedor", "razonsocial")
 TAX_HEADERS = ("rfc", "taxid", "federaltaxid", "taxidnumber", "registrofederaldecontribuyentes")
 

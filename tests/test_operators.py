@@ -1,10 +1,14 @@
 """Errors, edges, sources, sinks and the stream."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow import values as V
+from folioflow.functions import candidates as C
+from folioflow.functions import fields
 from folioflow.operators import batches as B
 from folioflow.operators import control, pages, process, vendors
 from folioflow.sources import files
@@ -61,6 +65,42 @@ def test_vendor_lists(spark):
     assert vendors.load_counts(raw, got).first().asDict() == {"rows_read": 4, "rows_inserted": 1, "rows_skipped": 3}
 
 
+def test_match_equals_comparison_with_all(spark):
+    """Grams and length bounds lose no supplier that comparing a name with all of them finds."""
+    rng = random.Random(5)
+    words = ["NORTE", "NORTES", "GRUPO", "SUR", "ALIMENTOS", "LECHE", "ANDES", "BODEGA", "X", "INDUSTRIAS"]
+    listed = {" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(150)}
+    listed = {n: i for i, n in enumerate(sorted(listed))}
+
+    def bent(name):
+        kind, at = rng.randint(0, 5), rng.randrange(len(name))
+        return [name[1:], name[:-1], "Q" + name, "EL " + name, name[:at] + "W" + name[at + 1 :], "ZZ" + name + "S"][kind]
+
+    names = sorted({bent(rng.choice(sorted(listed))).strip() for _ in range(400)} - {""})
+    v = vendors.prepared(spark.createDataFrame([(i, n, None) for n, i in listed.items()], "ordinal int, proveedor string, rfc string"), "ordinal")
+    asked = spark.createDataFrame(list(enumerate(names)), "key int, name string")
+    matched = vendors.matched_by_name(asked, v)
+    got = {r.key: (r.vendor_id, r.score) for r in matched.where("strategy = 'fuzzy_core_name'").collect()}
+    exact = {r.key for r in matched.where("strategy <> 'fuzzy_core_name'").collect()}
+    cores = {r.id: r.vendor_name_core for r in v.collect()}
+    forms = asked.select("key", fields.core_name(fields.match_name(F.col("name"))).alias("core")).collect()
+    firsts = {c.split()[0] for c in cores.values()}
+    expected, far = {}, 0
+    for key, core in forms:
+        if key in exact or not core:
+            continue
+        word = core.split()[0]
+        scores = [(C.similarity(core, c), -i) for i, c in cores.items() if c.split()[0] == word or word not in firsts]
+        score, i = max(scores)
+        if score >= (V.SHORT_NAME_MIN if len(core.split()) <= 2 else V.LONG_NAME_MIN):
+            expected[key] = (-i, round(score, 4))
+            far += word not in firsts
+    assert got.keys() == expected.keys() and far >= 10 and len(expected) - far >= 10
+    assert all(got[k][0] == expected[k][0] and abs(got[k][1] - expected[k][1]) < 1.1e-4 for k in got)
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_match_stops_at_exact_hits_without_identifier(spark):
     v = vendors.prepared(spark.createDataFrame([(1, "Grupo Norte SA", None), (2, "Alimentos Industriales Norta SA", "ABC850101XY1")], "ordinal int, proveedor string, rfc string"), "ordinal")
     asked = spark.createDataFrame([(1, "grupo norte"), (2, "Alimentos Industriales Nortz"), (3, None), (4, "")], "key int, name string")
