@@ -116,6 +116,24 @@ def metrics(documents: DataFrame) -> DataFrame:
     return rows.select("batch_id", "metric", "key", "n", percentage(F.col("n"), F.col("total")).alias("pct"))
 
 
+def kpis(reports: DataFrame) -> DataFrame:
+    """The five figures above a report, with what stands in for those that are missing.
+
+    ``reports`` has ``batch_id, total_documents, processing_seconds, average_quality, total_size_mb, processed, processed_pct``. Numbers
+    that are null are 0; a share that is null is counted anew from ``processed`` of all, 0 without documents.
+    """
+    number = lambda c, kind: F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind))
+    total = number("total_documents", "long")
+    return reports.select(
+        "batch_id",
+        number("processing_seconds", "double").alias("processing_seconds"),
+        total.alias("total_documents"),
+        number("average_quality", "double").alias("avg_quality"),
+        F.coalesce(F.col("processed_pct").cast("double"), percentage(number("processed", "long"), total)).alias("success_rate"),
+        number("total_size_mb", "double").alias("total_size_mb"),
+    )
+
+
 def detail(documents: DataFrame) -> DataFrame:
     """A row for each batch with its documents nested in order of id, confidences as a map."""
     fields = [c for c in documents.columns if c not in ("batch_id", "field_confidence_json")]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import values as V
+from ..functions import text as T
 
 MANIFEST_HEADERS = {"Concatenado": "concatenado", "Name": "name", "Extension": "extension", "Attributes.Size": "attributes_size", "Size KB": "size_kb", "Bandera": "bandera_source"}
 RELEASABLE = ("uploaded", "pending", "processing")
@@ -117,3 +118,21 @@ def released_count(before: DataFrame, after: DataFrame, batch_key: str) -> DataF
     """How many rows a release has taken out of a batch."""
     now = after.select("control_key", F.col("batch_key").alias("__now"))
     return before.join(now, "control_key").agg(F.count_if((F.col("batch_key") == batch_key) & F.col("__now").isNull()).alias("released"))
+
+
+def stored_paths(control: DataFrame, ordinal: str, batch_key: str | None = None) -> DataFrame:
+    """``batch_key, batch_document_id, source_path`` that a control table holds, of one batch or of all; of repeated documents the last row's.
+
+    No rows if one of these columns is missing. Rows without a batch, a whole id or a path are left out.
+    """
+    if not {"batch_key", "batch_document_id", "source_path"}.issubset(control.columns):
+        return control.sparkSession.createDataFrame([], "batch_key string, batch_document_id long, source_path string")
+    rows = control.select(
+        F.col("batch_key").cast("string").alias("batch_key"),
+        T.whole_id(F.col("batch_document_id").cast("string")).cast("long").alias("batch_document_id"),
+        F.btrim(F.coalesce(F.col("source_path").cast("string"), F.lit(""))).alias("source_path"),
+        F.col(ordinal).alias("o"),
+    ).where("batch_key IS NOT NULL AND batch_document_id IS NOT NULL AND source_path <> ''")
+    if batch_key is not None:
+        rows = rows.where(F.col("batch_key") == batch_key)
+    return rows.groupBy("batch_key", "batch_document_id").agg(F.max_by("source_path", "o").alias("source_path"))

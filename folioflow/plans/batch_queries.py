@@ -65,6 +65,26 @@ def list_page(spark, sf_dir):
     return B.list_batches(batches(spark, sf_dir), documents(spark, sf_dir), limit=20, offset=5, status="completed")[0]
 
 
+@register(
+    "agg17_report_kpis",
+    f"""{_BD}, n AS (SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE status = 'processed') AS processed, avg(quality_score) AS quality, sum(file_size) / 1048576.0 AS mb FROM d GROUP BY batch_id)
+ SELECT b.id AS batch_id, CASE WHEN b.id % 2 = 0 THEN 1.5 ELSE 0.0 END::DOUBLE AS processing_seconds, coalesce(n.total, 0) AS total_documents, coalesce(n.quality, 0.0) AS avg_quality,
+ CASE WHEN b.id % 3 = 0 THEN 12.5 WHEN n.total > 0 THEN round_even(CAST(n.processed AS DOUBLE) / n.total * 100, 2) ELSE 0.0 END::DOUBLE AS success_rate, coalesce(n.mb, 0.0)::DOUBLE AS total_size_mb
+ FROM ({_MORE}) b LEFT JOIN n ON n.batch_id = b.id""",
+)
+def report_kpis(spark, sf_dir):
+    """Reports of all batches, some without documents, seconds or a share."""
+    counts = documents(spark, sf_dir).groupBy("batch_id").agg(
+        F.count("*").alias("total_documents"),
+        F.count_if(F.col("status") == "processed").alias("processed"),
+        F.avg("quality_score").alias("average_quality"),
+        (F.sum("file_size") / F.lit(1048576.0)).alias("total_size_mb"),
+    )
+    reports = _more(spark, sf_dir).select(F.col("id").alias("batch_id")).join(counts, "batch_id", "left")
+    k = F.col("batch_id")
+    return B.kpis(reports.withColumns({"processing_seconds": F.when(k % 2 == 0, 1.5), "processed_pct": F.when(k % 3 == 0, 12.5)}))
+
+
 @register("agg07_total_batches", "SELECT count(*) AS total FROM customer")
 def total_batches(spark, sf_dir):
     return B.list_batches(batches(spark, sf_dir), documents(spark, sf_dir), status="failed")[1]

@@ -51,6 +51,24 @@ def file_index(spark, sf_dir):
     return _index(spark, sf_dir).select("source_path", "match_seq")
 
 
+@register(
+    "set02_stored_paths",
+    """WITH c AS (SELECT doc_id AS o, lang AS batch_key, doc_id // 2 AS id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'p/' || doc_id END AS path FROM documents WHERE lang IS NOT NULL)
+ SELECT batch_key, id AS batch_document_id, arg_max(path, o) AS source_path FROM c WHERE path <> '' AND o % 7 <> 0 GROUP BY batch_key, id""",
+)
+def stored_paths(spark, sf_dir):
+    """A control table in which every seventh id is no whole number and every eleventh path is blank."""
+    k = F.col("doc_id")
+    half = F.floor(k / 2).cast("string")
+    control = table(spark, sf_dir, "documents").select(
+        k.alias("o"),
+        F.col("lang").alias("batch_key"),
+        F.concat(half, F.when(k % 7 == 0, ".5").when(k % 3 == 0, ".0").otherwise("")).alias("batch_document_id"),
+        F.when(k % 11 == 0, "  ").otherwise(F.concat(F.lit(" p/"), k.cast("string"), F.lit(" "))).alias("source_path"),
+    )
+    return C.stored_paths(control, "o")
+
+
 @register(
     "jn02_prj07_prj08_pairing",
     f"""WITH {_MANIFEST} SELECT n.manifest_row, x.source_path, CASE WHEN x.source_path IS NULL THEN 'missing_source' ELSE 'matched' END AS path_status,

@@ -6,6 +6,8 @@ missing say so in an error column, not by an exception.
 
 from __future__ import annotations
 
+import os
+import shutil
 from collections.abc import Callable, Iterator
 from importlib.util import find_spec
 
@@ -189,3 +191,31 @@ def texts(files: DataFrame) -> DataFrame:
 
     others = files.where(~F.coalesce(is_book, F.lit(False))).select("path", "content").mapInPandas(run, "path string, text string, error_category string")
     return others.unionByName(of_books)
+
+
+#: Checks of a report and the modules each needs.
+PACKAGES = {
+    "pytesseract_package": ("pytesseract",), "pypdfium2_package": ("pypdfium2",), "python_docx_package": ("docx",), "extract_msg_package": ("extract_msg",),
+    "xlrd_package": ("xlrd",), "pyxlsb_package": ("pyxlsb",), "pywin32_package": ("pythoncom", "win32com"),
+}
+
+
+def health(spark: SparkSession, incoming: str, app_name: str = "folioflow", version: str = "") -> DataFrame:
+    """One row ``app_name, version, status, timestamp, checks``; the status is ``ok`` if every check holds, else ``degraded``.
+
+    The folder for incoming files is the driver's and is made if it is missing.
+    """
+    try:
+        database = spark.range(1).count() == 1
+    except Exception:  # whatever ails the session is what the report is about
+        database = False
+    try:
+        os.makedirs(incoming, exist_ok=True)
+        writable = os.access(incoming, os.W_OK)
+    except OSError:
+        writable = False
+    checks = {"database": database, "tesseract": shutil.which("tesseract") is not None, "upload_dir_writable": writable}
+    checks |= {name: all(find_spec(m) is not None for m in modules) for name, modules in PACKAGES.items()}
+    row = (app_name, version, "ok" if all(checks.values()) else "degraded", checks)
+    made = spark.createDataFrame([row], "app_name string, version string, status string, checks map<string,boolean>")
+    return made.select("app_name", "version", "status", F.current_timestamp().alias("timestamp"), "checks")

@@ -166,3 +166,26 @@ def test_stream(spark, tmp_path):
     query.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.rfc for r in got) == ["ABC850101XY1"] * 2 and all(r.status == "processed" for r in got)
+
+
+def test_report_kpis_fall_back(spark):
+    rows = [(1, 4, None, None, None, 1, None), (2, 4, 2.5, 80.0, 1.25, 1, 99.0), (3, None, None, None, None, None, None), (4, 0, 1.0, 0.0, 0.0, 0, None)]
+    made = spark.createDataFrame(rows, "batch_id int, total_documents long, processing_seconds double, average_quality double, total_size_mb double, processed long, processed_pct double")
+    got = {r.batch_id: tuple(r)[1:] for r in B.kpis(made).collect()}
+    assert got == {1: (0.0, 4, 0.0, 25.0, 0.0), 2: (2.5, 4, 80.0, 99.0, 1.25), 3: (0.0, 0, 0.0, 0.0, 0.0), 4: (1.0, 0, 0.0, 0.0, 0.0)}
+
+
+def test_stored_paths(spark):
+    rows = [(1, "k", "7", " a "), (2, "k", "7.0", "b"), (3, "k", "x", "c"), (4, "k", "8", None), (5, "other", "7", "d"), (6, None, "9", "e")]
+    table = spark.createDataFrame(rows, "o int, batch_key string, batch_document_id string, source_path string")
+    assert [tuple(r) for r in control.stored_paths(table, "o", "k").collect()] == [("k", 7, "b")]
+    assert control.stored_paths(table, "o").count() == 2
+    assert control.stored_paths(table.drop("source_path"), "o", "k").collect() == []
+
+
+def test_health(spark, tmp_path):
+    report = files.health(spark, str(tmp_path / "incoming")).first()
+    assert report.checks["database"] and report.checks["upload_dir_writable"] and (tmp_path / "incoming").is_dir()
+    assert (report.status == "ok") == all(report.checks.values())
+    (tmp_path / "file").write_text("")
+    assert files.health(spark, str(tmp_path / "file" / "below")).first().status == "degraded"
