@@ -300,13 +300,15 @@ def token_set(a: str, b: str) -> float:
     return max(ratio(left, right), *((ratio(both, left), ratio(both, right)) if both else (0.0, 0.0)))
 
 
-def similarity(a: str, b: str) -> float:
+def similarity(a: str, b: str, least: float = 0.0) -> float:
+    """The weighted score of two names; 0 as soon as what is known rules out ``least``."""
     if not a or not b:
         return 0.0
-    parts = {
-        "ratio": ratio(a, b), "token_sort": token_sort(a, b), "token_set": token_set(a, b),
-        "contains": float(a in b or b in a), "same_first": float(a.split()[:1] == b.split()[:1]),
-    }
+    parts = {"ratio": 1.0, "token_sort": 1.0, "token_set": 1.0, "contains": float(a in b or b in a), "same_first": float(a.split()[:1] == b.split()[:1])}
+    for name, part in (("ratio", ratio), ("token_sort", token_sort), ("token_set", token_set)):
+        parts[name] = part(a, b)
+        if sum(V.SIMILARITY[k] * v for k, v in parts.items()) < least - 1e-9:
+            return 0.0
     return sum(V.SIMILARITY[k] * v for k, v in parts.items())
 
 

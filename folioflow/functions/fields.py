@@ -99,10 +99,12 @@ def month_number(raw: Column) -> Column:
     return _by_text(C.month_of, "int")(raw)
 
 
-def similarity(a: Column, b: Column) -> Column:
+def similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Scores below ``least`` may be 0."""
+
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([C.similarity(p, q) if isinstance(p, str) and isinstance(q, str) else 0.0 for p, q in zip(x, y)])
+        return pd.Series([C.similarity(p, q, least) if isinstance(p, str) and isinstance(q, str) else 0.0 for p, q in zip(x, y)])
 
     return run(a, b)
 

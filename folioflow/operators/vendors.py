@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import values as V
 from ..functions import fields, taxid
 from ..functions import text as T
+from ..session import settled
 
 
 def prepared(raw: DataFrame, ordinal: str) -> DataFrame:
@@ -92,18 +93,23 @@ def matched_by_name(names: DataFrame, vendors: DataFrame) -> DataFrame:
     Equal normal names, then equal core names, then the most similar core name of the suppliers with the
     same first word; where no supplier has it, of all, by grams in place of all pairs. Names are joined once each, however often they occur.
     """
-    asked = names.select("key", fields.match_name(F.col("name")).alias("normal"))
-    forms = asked.where("normal <> ''").select("normal").distinct().withColumn("core", fields.core_name(F.col("normal")))
+    # each name as it was written is brought to its form once
+    asked = settled(names.where("name IS NOT NULL").select("name").distinct().withColumn("normal", fields.match_name(F.col("name"))).where("normal <> ''"))
+    forms = asked.select("normal").distinct().withColumn("core", fields.core_name(F.col("normal")))
     exact = forms.join(_first_by(vendors, "vendor_name_normalized"), F.col("normal") == F.col("k"), "left").select("normal", "core", F.col("v").alias("by_name"))
     both = exact.join(_first_by(vendors, "vendor_name_core"), F.col("core") == F.col("k"), "left").select("normal", "core", "by_name", F.col("v").alias("by_core"))
-    both = both.withColumn("open", F.col("by_name").isNull() & F.col("by_core").isNull())
+    # read by every way to find a supplier; checkpointed, as the forms cross into Python
+    both = settled(both.withColumn("open", F.col("by_name").isNull() & F.col("by_core").isNull()))
     word = lambda c: F.split(F.col(c), " ")[0]
     blocks = _first_by(vendors, "vendor_name_core").select(F.col("k").alias("other"), "v", word("k").alias("word"))
     everyone = vendors.select(F.coalesce("vendor_name_core", "vendor_name_normalized").alias("other"), F.struct("id", "vendor_name", "rfc").alias("v")).where("other <> ''")
     open_ = both.where("open").select("normal", "core", word("core").alias("word"))
     near = open_.join(blocks, "word").where(_may_reach(F.col("core"), F.col("other"))).select("normal", "core", "other", "v")
     rest = open_.join(blocks.select("word").distinct(), "word", "left_anti").select("normal", "core")
-    scored = near.unionByName(_contained(rest, everyone)).withColumn("score", fields.similarity(F.col("core"), F.col("other")))
+    # dealt by name, so that the pairs of a popular first word are scored in many tasks; a fixed number keeps small inputs from meeting in one
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = near.unionByName(_contained(rest, everyone)).repartition(parts, "normal", "core")
+    scored = pairs.withColumn("score", fields.similarity(F.col("core"), F.col("other"), V.LEAST_SIMILARITY))
     least = F.when(F.size(F.split("core", " ")) <= 2, V.SHORT_NAME_MIN).otherwise(V.LONG_NAME_MIN)
     best = scored.groupBy("normal", "core").agg(F.max(F.struct(F.col("score"), (-F.col("v.id")).alias("o"), "v")).alias("b"))
     best = best.where((F.col("b.score") > 0) & (F.col("b.score") >= least)).select("normal", F.struct("b.v", F.bround("b.score", 4).alias("score")).alias("fuzzy"))
@@ -115,7 +121,7 @@ def matched_by_name(names: DataFrame, vendors: DataFrame) -> DataFrame:
         F.when(F.col("by_name").isNotNull(), 1.0).when(F.col("by_core").isNotNull(), 0.98).otherwise(F.col("fuzzy.score")).alias("score"),
         F.when(F.col("by_name").isNotNull(), "exact_normalized_name").when(F.col("by_core").isNotNull(), "exact_core_name").otherwise("fuzzy_core_name").alias("strategy"),
     ).where("v IS NOT NULL")
-    return asked.join(result, "normal").select("key", F.col("v.id").alias("vendor_id"), "v.vendor_name", "v.rfc", "score", "strategy")
+    return names.select("key", "name").join(asked.join(result, "normal"), "name").select("key", F.col("v.id").alias("vendor_id"), "v.vendor_name", "v.rfc", "score", "strategy")
 
 
 def filled(documents: DataFrame, vendors: DataFrame) -> DataFrame:

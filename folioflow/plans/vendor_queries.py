@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import vendors as S
+from ..session import settled
 from .registry import register
 from .standins import table
 
@@ -35,6 +36,11 @@ def _vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.prepared(_raw(spark, sf_dir), "ordinal")
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared list as a table: several joins read it, and its forms cross into Python."""
+    return settled(_vendors(spark, sf_dir))
+
+
 @register("agg12_nam09_snk05_vendor_load", f"WITH {_VENDORS} SELECT id * 3 AS id, core AS vendor_name_core, core || ' SA DE CV' AS vendor_name_normalized, rfc FROM v")
 def vendor_load(spark, sf_dir):
     return _vendors(spark, sf_dir).select("id", "vendor_name_core", F.regexp_replace("vendor_name_normalized", " S A ", " SA ").alias("n"), "rfc").withColumn("vendor_name_normalized", F.regexp_replace("n", "C V$", "CV")).drop("n")
@@ -68,7 +74,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def match_by_name(spark, sf_dir):
     asked = _asked(spark, sf_dir).where("c <> 3").select(F.col("id").alias("key"), F.col("nombre_proveedor").alias("name"))
-    return S.matched_by_name(asked, _vendors(spark, sf_dir)).select(F.col("key").alias("id"), "vendor_id", "strategy", "rfc")
+    return S.matched_by_name(asked, _stored(spark, sf_dir)).select(F.col("key").alias("id"), "vendor_id", "strategy", "rfc")
 
 
 @register(
@@ -77,7 +83,7 @@ def match_by_name(spark, sf_dir):
 )
 def fill_gaps(spark, sf_dir):
     asked = _asked(spark, sf_dir).select("id", "rfc", "nombre_proveedor")
-    return S.filled(asked, _vendors(spark, sf_dir)).select("id", "rfc", F.col("nombre_proveedor").isNotNull().alias("named"))
+    return S.filled(asked, _stored(spark, sf_dir)).select("id", "rfc", F.col("nombre_proveedor").isNotNull().alias("named"))
 
 
 @register(
@@ -88,9 +94,10 @@ def path_context(spark, sf_dir):
     rows = _asked(spark, sf_dir)
     core = F.upper(F.regexp_replace("listed", r" S\.A.*$", ""))
     # the supplier's identifier comes by its name here, as only some orders carry it
-    ids = _vendors(spark, sf_dir).where("rfc IS NOT NULL").select(F.col("vendor_name").alias("listed"), F.col("rfc").alias("id_of"))
+    vendors = _stored(spark, sf_dir)
+    ids = vendors.where("rfc IS NOT NULL").select(F.col("vendor_name").alias("listed"), F.col("rfc").alias("id_of"))
     rows = rows.join(ids, "listed", "left")
     by_id = (F.col("id") % 3 == 0) & F.col("id_of").isNotNull()
     path = F.when(by_id, F.concat(F.lit("C:\\Contratos\\RFC "), "id_of", F.lit("\\otro nombre.pdf"))).when(F.col("id") % 3 == 1, F.concat(F.lit("/data/Proveedores/"), core, F.lit(" SA/2024/0001.pdf"))).otherwise("/data/incoming/12345.pdf")
-    found = S.from_paths(rows.select(F.col("id").alias("key"), path.alias("path")), _vendors(spark, sf_dir))
+    found = S.from_paths(rows.select(F.col("id").alias("key"), path.alias("path")), vendors)
     return found.select(F.col("key").alias("id"), "rfc", "strategy")
