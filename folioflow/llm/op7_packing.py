@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -30,9 +31,9 @@ WINDOW = 4096
 END_ID = 2
 #: Tokens of a shard, give or take one document.
 SHARD_TOKENS = 1 << 21
-#: Documents whose unknown words are encoded in one call; few, so that their words stay in the cache.
-GROUP = 16
-#: Documents that go back from a worker at once.
+#: Bytes of text, give or take one document, whose words are told apart at once.
+CHUNK = 2 << 20
+#: Documents that go from and to a worker's encoder at once.
 SENT = 512
 #: Words remembered by a worker; once as many are known no more are added.
 REMEMBERED = 300_000
@@ -45,16 +46,32 @@ DENSE = 16
 PROBES = (
     "Don't stop: it's 12,345.67 -- (x)[y]{z}", "L'été n'est\n\npas  là; Straße ÄÖÜ", "a's'll b've c're'd 'm", "<|endoftext|> < |x| >", "naïve\tcafé\u00a0x e\u0301 ﬁ", "日本語 テキスト ok", "!!! ??? ...a1b2 #$%&*", "UPPER lower MiXeD",
 )
-#: Composed Latin-1 letters in lower case, then perhaps ASCII punctuation other than an apostrophe: two pre-tokens at most.
-LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Composed Latin-1 letters in lower case: one pre-token.
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
+#: What one byte can tell: line feeds become spaces, capitals are A-Z, punctuation is ASCII's but the apostrophe.
+SPACED = bytes.maketrans(b"\n", b" ")
+CAPITAL, LETTER, PUNCTUATION = (np.isin(np.arange(256), list(x)) for x in (string.ascii_uppercase.encode(), string.ascii_letters.encode(), string.punctuation.replace("'", "").encode()))
+#: The first byte of U+00C0 to U+00FF, all letters but those whose second byte is in ``SIGNS``.
+LATIN, SIGNS = 0xC3, (0x97, 0xB7)
+
+
+def cut_at_spaces(text: bytes) -> Iterator[bytes]:
+    """A long text in pieces of ``CHUNK`` bytes, give or take one word, without the spaces between them."""
+    s = 0
+    while 0 <= (e := text.find(b" ", s + CHUNK)):
+        yield text[s:e]
+        s = e + 1
+    yield text[s:]
 
 
 class WordEncoder:
-    """Token ids of texts as little-endian 32-bit numbers, by a tokenizer that drops white space.
+    """Token ids of texts as little-endian numbers of ``kind``, by a tokenizer that drops white space.
 
-    No pre-token of such a tokenizer crosses a space or a line feed, so what stands between them is
-    encoded once and remembered. Unknown words are joined by a separator that is a token of its own.
-    Where the tokenizer encodes ``PROBES`` otherwise, each text goes through it whole.
+    No pre-token of such a tokenizer crosses a space, a line feed or the place between a letter and ASCII
+    punctuation other than an apostrophe, so what stands between them, here a word, is encoded once and
+    remembered. The words of many texts are told apart in columns; Python sees each different one once.
+    Unknown words are joined by a separator that is a token of its own. Where the tokenizer encodes
+    ``PROBES`` otherwise, each text goes through it whole.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -63,12 +80,16 @@ class WordEncoder:
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         # words of plain letters need no normalisation: the same merges on their bytes' characters
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer, self.merges.pre_tokenizer = None, WhitespaceSplit()
         self.shown = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.remembered = remembered
+        # added tokens are found in the text as it is, so no word may end in one
+        added = {b for t in self.tokenizer.get_added_tokens_decoder().values() for b in t.content.encode()}
+        self.opens = PUNCTUATION & ~np.isin(np.arange(256), list(added))
         single = [(c, ids[0]) for c in "♥★☀☺♪•" if len(ids := self._ids(c)) == 1 and self._ids(f"x {c} y") == [*self._ids("x"), ids[0], *self._ids("y")]]
         self.separator, self.separator_id = single[0] if single else (None, None)
         self.by_word = True
@@ -77,73 +98,122 @@ class WordEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _raw(self, text: str) -> bytes:
+        return np.array(self._ids(text), self.kind).tobytes()
+
     def _joined(self, tokenizer, words: list[str], separator: str | None) -> list[bytes]:
         """Ids of words that hold no separator, many in one call."""
         found: list[bytes] = []
         groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
         encodings = tokenizer.encode_batch_fast([f" {separator} ".join(g) for g in groups], add_special_tokens=False) if separator and groups else [None] * len(groups)
+        size = np.dtype(self.kind).itemsize
         for part, encoding in zip(groups, encodings):
-            ids = np.array(encoding.ids if encoding else [], "<u4")
+            ids = np.array(encoding.ids if encoding else [], self.kind)
             ends = np.flatnonzero(ids == self.separator_id).tolist()
             if len(ends) != len(part) - 1:
-                found += [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in part]
+                found += [np.array(tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes() for w in part]
                 continue
             raw, s = ids.tobytes(), 0
             for e in [*ends, len(ids)]:
-                found.append(raw[4 * s : 4 * e])
+                found.append(raw[size * s : size * e])
                 s = e + 1
         return found
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words not known. Letters, and punctuation after them, are pre-tokens of their own."""
-        known, parts, letters, others = self.known, [], set(), set()
-        for w in words:
-            m = LETTERS(w.lower())
-            if m is None:
-                others.add(w)
-                continue
-            a, b = m.groups()
-            parts.append((w, a, b))
-            if a not in known:
-                letters.add(a)
-            if b and b not in known:
-                others.add(b)
-        found = {w: np.array(self._ids(w), "<u4").tobytes() for w in others if self.separator is None or self.separator in w}
-        rest, letters = [w for w in others if w not in found], list(letters)
-        found |= zip(rest, self._joined(self.tokenizer, rest, self.separator))
-        mapped = "\n".join(letters).encode().decode("latin-1").translate(self.shown).split(self.shown[10]) if letters else []
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not known, and of the lower case of those that are letters."""
+        known, plain, others, letters = self.known, [], [], set()
+        words = b" ".join(new).decode().split(" ")
+        for raw, w in zip(new, words):
+            low = w.lower()
+            if LETTERS(low):
+                letters.add(low)
+                if low != w:
+                    plain.append((raw, low.encode()))
+            else:
+                others.append(w)
+        found = {w.encode(): self._raw(w) for w in others if self.separator is None or self.separator in w}
+        rest = [w for w in others if w.encode() not in found]
+        found |= zip([w.encode() for w in rest], self._joined(self.tokenizer, rest, self.separator))
+        keys = [k for w in letters if (k := w.encode()) not in known]
+        mapped = b"\n".join(keys).decode("latin-1").translate(self.shown).split(self.shown[10]) if keys else []
         separator = self.separator and self.separator.encode().decode("latin-1").translate(self.shown)
-        found |= zip(letters, self._joined(self.merges, mapped, separator))
-        for w, a, b in parts:
-            if b:
-                found[w] = (known.get(a) or found[a]) + (known.get(b) or found[b])
-            elif a != w or w not in found:
-                found[w] = known.get(a) or found[a]
+        found |= zip(keys, self._joined(self.merges, mapped, separator))
+        for raw, low in plain:
+            found[raw] = found[low] if low in found else known[low]
         return found
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _words(self, texts: list[bytes], lower: bool) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """Of each word its place among the different ones, these, and the number of words up to each text's end."""
+        joined = b" ".join([*texts, b""]).translate(SPACED)
+        data = np.frombuffer(joined, np.uint8)
+        ends = np.cumsum([len(x) + 1 for x in texts])
+        # letter, punctuation: a space goes between
+        at = np.flatnonzero(self.opens[data[1:]]) + 1
+        before = data[at - 1]
+        two = (data[at - 2] == LATIN) & (at > 1) & (before != SIGNS[0]) & (before != SIGNS[1])
+        opened = at[LETTER[before] | two]
+        data = np.insert(data, opened, 32)
+        ends += np.searchsorted(opened, ends)
+        if lower:
+            # a mark after a capital might compose with it otherwise than with the small letter, so only before what is none
+            after = np.append(data[1:], np.uint8(32))
+            single = (after < 0x80) | (after == LATIN)
+            capital = np.flatnonzero(CAPITAL[data] & single)
+            first = np.flatnonzero(data[:-1] == LATIN) + 1
+            first = first[(data[first] < 0x9F) & (data[first] != SIGNS[0]) & single[first]]
+            data[capital] += 32
+            data[first] += 32
+        blank = np.flatnonzero(data == 32)
+        starts = np.zeros(len(blank) + 1, np.int64)
+        starts[1:] = blank + 1
+        column = pa.Array.from_buffers(pa.large_binary(), len(blank), [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        different = column.dictionary
+        total = np.frombuffer(different.buffers()[1], np.int64)[len(different)]
+        # each ends in its space
+        return column.indices.to_numpy(), different.buffers()[2].slice(0, total).to_pybytes().split(b" ")[:-1], np.searchsorted(blank, ends)
+
+    def _chunk(self, texts: list[bytes], lower: bool) -> list[bytes]:
+        index, words, ends = self._words(texts, lower)
+        found = list(map(self.known.get, words))
+        new = [w for w, ids in zip(words, found) if ids is None]
+        if new:
+            fresh = self._learn(new)
+            if len(self.known) < self.remembered:
+                self.known.update(fresh)
+            found = [fresh[w] if ids is None else ids for w, ids in zip(words, found)]
+        table = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // table.itemsize
+        starts = np.cumsum(sizes) - sizes
+        own = sizes[index]
+        stops = np.cumsum(own)
+        # the places of all words' ids in the table, one word after the other
+        ids = table[np.arange(stops[-1]) + np.repeat(starts[index] - (stops - own), own)]
+        cuts = [0, *stops[ends - 1].tolist()]
+        return [ids[s:e].tobytes() for s, e in zip(cuts, cuts[1:])]
+
+    def raw(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as numbers of ``kind``."""
         if not self.by_word:
-            return [np.array(self._ids(t or ""), "<u4").tobytes() for t in texts]
-        known, out, open_, new = self.known, [], [], set()
-        for text in texts:
-            text = text or ""
-            if text.isascii() and "<|" not in text:
-                text = text.lower()
-            words = text.replace("\n", " ").split(" ")
-            found = list(map(known.get, words))
-            try:
-                out.append(b"".join(found))
-            except TypeError:  # a word is not known
-                new.update([w for w, ids in zip(words, found) if ids is None])
-                open_.append((len(out), words, found))
-                out.append(b"")
-        fresh = self._learn(list(new)) if new else {}
-        if len(known) < self.remembered:
-            known.update(fresh)
-        for k, words, found in open_:
-            out[k] = b"".join([fresh[w] if ids is None else ids for w, ids in zip(words, found)])
+            return [self._raw(t or "") for t in texts]
+        out: list[bytes] = [b""] * len(texts)
+        plain = [(k, x) for k, t in enumerate(texts) if t for x in cut_at_spaces(t.encode())]
+        # a capital may be all that keeps a text from holding an added token
+        for lower in (True, False):
+            held, size = [], 0
+            own = [(k, x) for k, x in plain if (b"<|" not in x) == lower]
+            for n, (k, x) in enumerate(own, 1):
+                held.append((k, x))
+                size += len(x)
+                if size >= CHUNK or n == len(own):
+                    for (place, _), ids in zip(held, self._chunk([x for _, x in held], lower)):
+                        out[place] += ids
+                    held, size = [], 0
         return out
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as 32-bit numbers."""
+        return [np.frombuffer(x, self.kind).astype("<u4").tobytes() for x in self.raw(texts)]
+
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -273,20 +343,28 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
-        kind = id_type(path)
-        end = np.array([end_id], kind).tobytes()
+        end = np.array([end_id], words.kind).tobytes()
+        held, size = [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            ids = [x + end for x in words.raw([t for b in held for t in b.column(1).to_pylist()])]
+            for b in held:
+                own, ids = ids[: b.num_rows], ids[b.num_rows :]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["doc_id", "ids"])
+
         for batch in (b.slice(k, SENT) for b in batches for k in range(0, b.num_rows, SENT)):
-            ids = []
-            for k in range(0, batch.num_rows, GROUP):
-                found = words.encode(batch.column(1).slice(k, GROUP).to_pylist())
-                ids += [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            held.append(batch)
+            size += batch.column(1).nbytes
+            if size >= CHUNK:
+                yield from done()
+                held, size = [], 0
+        yield from done()
 
     return common.written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary"), "ids")
 
 
 def id_type(path: str) -> str:
-    return "<u2" if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+    return encoder(path).kind
 
 
 def corpus_statistics(rows: DataFrame, kind: str) -> Statistics:

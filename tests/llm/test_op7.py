@@ -113,6 +113,32 @@ def test_words():
                 assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids
 
 
+ODD = [" ", "\n", "\t", "a", "B", "H", "ß", "É", "Ñ", "é", "×", "÷", "Σ", "İ", "\u212a", "\u0301", "\u0331", "'", "'s", "'LL", ",", ".", "|", "<", ">", "(", "-", "7", "½", "—", "漢", "👍🏽", "♥", "<|endoftext|>", "<|ENDOFTEXT|>", "\u00a0", "\x0b"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ODD), max_size=12).map("".join), max_size=5))
+def test_odd_words(texts):
+    plain, words = Tokenizer.from_file(PATH), op.encoder(PATH)
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(op, "CHUNK", 16)
+    texts = ["One, two  three.\nFour! " * 9, "", "x" * 50 + " y", "<|endoftext|> " * 5, " " * 40, None, "é, É. " * 8]
+    plain = Tokenizer.from_file(PATH)
+    assert [np.frombuffer(x, "<u4").tolist() for x in op.WordEncoder(PATH).encode(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_a_word_is_learnt_once():
+    """Whatever its capitals and the punctuation after it, a word goes through the tokenizer once and takes one place in memory."""
+    words = op.WordEncoder(PATH)
+    before = set(words.known)
+    ends = ("", ",", ".", "!", "?", ";", ").")
+    words.encode([f"{w}{p}" for w in ("zyxwab", "Zyxwab", "ZYXWAB", "éñzy", "Éñzy") for p in ends])
+    assert 2 <= len(words.known.keys() - before) <= 2 + len(ends)
+
+
 def test_table(spark):
     plain = Tokenizer.from_file(PATH)
     rows = [Row(doc_id=i, text=t, start="clash") for i, t in enumerate(TEXTS)]
