@@ -239,49 +239,73 @@ class Statistics:
         return Statistics(len(documents), sum(map(len, documents)) / len(documents), df)
 
 
+def distinct(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's different ids in order, how often it has each, and where each document's begin, and the end."""
+    ids = np.concatenate([np.sort(x) for x in documents])
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in documents])])
+    first = np.ones(len(ids) + 1, bool)
+    first[1:-1] = ids[1:] != ids[:-1]
+    first[bounds] = True
+    at = np.flatnonzero(first)
+    return ids[at[:-1]], np.diff(at), np.searchsorted(at, bounds)
+
+
 class InvertedIndex:
     """BM25 over the token ids of one shard; terms that many of its documents have are columns of a dense matrix."""
 
     def __init__(self, documents: list[np.ndarray], statistics: Statistics):
-        self.n = len(documents)
-        self.terms, counts = [], []
-        for ids in documents:
-            t, c = np.unique(ids, return_counts=True)
-            self.terms.append(t)
-            counts.append(c)
-        sizes = np.array([len(t) for t in self.terms])
+        n = len(documents)
+        term, tf, bounds = distinct(documents)
+        term, tf = term.astype(np.int64), tf.astype(float)
+        self.terms = [term[s:e] for s, e in zip(bounds, bounds[1:])]
         lengths = np.array([len(x) for x in documents], float)
-        term, tf = np.concatenate(self.terms).astype(np.int64), np.concatenate(counts).astype(float)
-        doc = np.repeat(np.arange(self.n), sizes)
+        doc = np.repeat(np.arange(n), np.diff(bounds))
         df = np.bincount(term)
         weight = statistics.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / statistics.mean))
-        common_ = np.flatnonzero(df * DENSE > max(self.n, 4 * DENSE))
+        common_ = np.flatnonzero(df * DENSE > max(n, 4 * DENSE))
         self.column = np.full(len(df), -1, np.int64)
         self.column[common_] = np.arange(len(common_))
         own = self.column[term]
-        self.dense = np.zeros((len(common_), self.n))
+        self.dense = np.zeros((len(common_), n))
         self.dense[own[own >= 0], doc[own >= 0]] = weight[own >= 0]
-        rest = own < 0
-        order = np.flatnonzero(rest)[np.argsort(term[rest], kind="stable")]
-        self.doc, self.weight = doc[order], weight[order]
-        self.start = np.concatenate([[0], np.cumsum(np.where(self.column < 0, df, 0))])
-        self.df = df
+        # a term that one document has brings it no neighbour
+        rest = np.flatnonzero((own < 0) & (df[term] > 1))
+        order = rest[np.argsort(term[rest], kind="stable")]
+        #: which documents are left, in order
+        self.place = np.arange(n)
+        self._postings(term[order], doc[order], weight[order])
+
+    def _postings(self, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
+        self.term, self.doc, self.weight = term, doc, weight
+        self.count = np.bincount(term, minlength=len(self.column))
+        self.start = np.cumsum(self.count) - self.count
+
+    def keep(self, unused: np.ndarray) -> None:
+        """Forget the documents that are used; any may still be a seed."""
+        left = unused[self.place]
+        at = left[self.doc]
+        self.dense, self.place = np.compress(left, self.dense, axis=1), self.place[left]
+        self._postings(self.term[at], (np.cumsum(left) - 1)[self.doc[at]], self.weight[at])
 
     def scores(self, seed: int) -> np.ndarray:
+        """Of each document that is left."""
         terms = self.terms[seed]
         column = self.column[terms]
-        total = self.dense[column[column >= 0]].sum(axis=0)
-        terms = terms[(column < 0) & (self.df[terms] > 1)]
-        starts, counts = self.start[terms], self.df[terms]
+        total = np.zeros(len(self.place))
+        # row by row, as a copy of them all would leave the cache
+        for c in column[column >= 0].tolist():
+            total += self.dense[c]
+        terms = terms[column < 0]
+        starts, counts = self.start[terms], self.count[terms]
         # the places of all these terms' postings, one term after the other
         at = np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
-        return total + np.bincount(self.doc[at], self.weight[at], self.n)
+        return total + np.bincount(self.doc[at], self.weight[at], len(self.place))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share one of the seed's terms, best first, ties by place."""
         score = self.scores(seed)
-        found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        found = np.flatnonzero((score > 0) & unused[self.place])
+        return self.place[found[np.argsort(-score[found], kind="stable")]]
 
 
 def pack_shard(documents: list[np.ndarray], window: int = WINDOW, statistics: Statistics | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -313,6 +337,8 @@ def pack_shard(documents: list[np.ndarray], window: int = WINDOW, statistics: St
 
         take(seed)
         if space:
+            if 4 * np.count_nonzero(unused) < 3 * len(index.place):
+                index.keep(unused)
             for d in index.neighbours(seed, unused).tolist():
                 take(d)
                 if not space:
@@ -373,15 +399,13 @@ def corpus_statistics(rows: DataFrame, kind: str) -> Statistics:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(1, np.int64), 0, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = [np.sort(np.frombuffer(x, kind)) for x in batch.column(0).to_pylist()]
-            n, total = n + len(own), total + sum(map(len, own))
-            # a token counts once a document: of equal neighbours in the sorted ids the first
-            firsts = [x[np.concatenate([[True], x[1:] != x[:-1]])] for x in own]
-            more = np.bincount(np.concatenate(firsts), minlength=len(df))
-            more[: len(df)] += df
-            df = more
+            for k in range(0, batch.num_rows, SENT):
+                own = [np.frombuffer(x, kind) for x in batch.column(0).slice(k, SENT).to_pylist()]
+                n, total = n + len(own), total + sum(map(len, own))
+                # a token counts once a document
+                more = np.bincount(distinct(own)[0], minlength=len(df))
+                more[: len(df)] += df
+                df = more
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]])), pa.array(np.concatenate([df[at], [n, total]]))], ["token", "n"])
 

@@ -85,6 +85,21 @@ def test_neighbours_against_brute_force(monkeypatch, dense):
         assert np.allclose([score[d] for d in got if d != seed], sorted((score[d] for d in want), reverse=True))
 
 
+@pytest.mark.parametrize("dense", [1, 16, 1000])
+def test_used_documents_are_forgotten(monkeypatch, dense):
+    """What is left has the same neighbours in the same order, used seeds too, and no used document costs a score."""
+    monkeypatch.setattr(op, "DENSE", dense)
+    rng = np.random.default_rng(7)
+    docs = [np.minimum(rng.geometric(0.02, rng.integers(1, 60)), 199).astype("<u2") for _ in range(80)]
+    whole, less = (op.InvertedIndex(docs, op.Statistics.of(docs)) for _ in range(2))
+    unused = np.ones(80, bool)
+    for share in (0.7, 0.7, 0.1, 0):
+        unused &= rng.random(80) < share
+        less.keep(unused)
+        assert len(less.scores(0)) == unused.sum()
+        assert all(less.neighbours(d, unused).tolist() == whole.neighbours(d, unused).tolist() for d in range(80))
+
+
 def test_statistics_cover_all_documents(spark):
     rows = [(i, f"word{i % 7} and {'x ' * (i % 5)} common") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
