@@ -38,6 +38,8 @@ LANDMARKS = 480
 PLAIN = 5_000
 #: Weight of an error, and Newton steps at most.
 PENALTY, STEPS = 10.0, 50
+#: Rows of a kernel, and terms to decide or rows to sum up, that the driver holds at once while it trains.
+ROWS, BLOCK = 128, 1024
 #: Longest term that is scored as one; longer ones are scored by overlapping parts.
 LONGEST = 40
 #: Words remembered by a worker; once as many are known no more are added.
@@ -157,31 +159,39 @@ class Machine:
         return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, self.slope * (worst - self.middle)))))
 
 
-def _kernel(a: list[str], b: list[str]) -> np.ndarray:
-    """Normalised kernel of each string of ``a`` with each of ``b``."""
+def _kernel_rows(a: list[str], b: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """Normalised kernel of each string of ``a`` with each of ``b``, a few rows at a time with the place of the first."""
     rows, columns, values = subsequences(b)
     distinct, at = np.unique(columns, return_inverse=True)
     dense = np.zeros((len(b), len(distinct)))
     dense[rows, at] = values
-    out = np.zeros((len(a), len(b)))
-    for k in range(0, len(a), 1024):
-        rows, columns, values = subsequences(a[k : k + 1024])
+    for k in range(0, len(a), ROWS):
+        rows, columns, values = subsequences(a[k : k + ROWS])
         where = np.searchsorted(distinct, columns)
         fits = (where < len(distinct)) & (distinct[np.minimum(where, len(distinct) - 1)] == columns) if len(distinct) else np.zeros(len(columns), bool)
-        own = np.zeros((min(1024, len(a) - k), len(distinct)))
+        own = np.zeros((min(ROWS, len(a) - k), len(distinct)))
         own[rows[fits], where[fits]] = values[fits]
-        out[k : k + 1024] = own @ dense.T
-    return out
+        yield k, own @ dense.T
+
+
+def _kernel(a: list[str], b: list[str]) -> np.ndarray:
+    return np.concatenate([np.zeros((0, len(b))), *(part for _, part in _kernel_rows(a, b))])
 
 
 def _newton(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Squared-hinge SVM, bias last and hardly penalised: Newton steps until the set of margin errors settles."""
-    z = np.hstack([z, np.ones((len(z), 1))])
+    """Squared-hinge SVM: Newton steps until the set of margin errors settles. The last column of ``z`` is one; its weight, the bias, is hardly penalised."""
     ridge = np.diag([1.0] * (z.shape[1] - 1) + [1e-6])
     w, errors = np.zeros(z.shape[1]), np.ones(len(z), bool)
     for _ in range(STEPS):
-        zs, ys, cs = z[errors], y[errors], cost[errors]
-        w = np.linalg.solve(ridge + (zs * cs[:, None]).T @ zs, (zs * cs[:, None]).T @ ys)
+        left, right = ridge.copy(), np.zeros(len(ridge))
+        for k in range(0, len(z), BLOCK):
+            part = slice(k, k + BLOCK)
+            on = errors[part]
+            zs = z[part][on]
+            costly = (zs * cost[part][on][:, None]).T
+            left += costly @ zs
+            right += costly @ y[part][on]
+        w = np.linalg.solve(left, right)
         now = y * (z @ w) < 1
         if (now == errors).all():
             break
@@ -201,7 +211,9 @@ def fit(positive: list[str], negative: list[str], hard: list[str]) -> tuple[np.n
     values, vectors = np.linalg.eigh(_kernel(marks, marks))
     good = values > 1e-8 * max(values.max(initial=0), 1e-300)
     root = vectors[:, good] / np.sqrt(values[good])
-    z = _kernel(positive + negative, marks) @ root
+    z = np.ones((len(positive) + len(negative), root.shape[1] + 1))
+    for k, part in _kernel_rows(positive + negative, marks):
+        z[k : k + ROWS, :-1] = part @ root
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
     cost = np.where(y > 0, PENALTY / max(1, len(positive)), PENALTY / max(1, len(negative))) * len(y) / 2
     w = _newton(z, y, cost)
@@ -263,8 +275,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     # the clean terms that the first machine takes for worst join the second's examples and landmarks
     plain, pool = often[:PLAIN] + drawn[:PLAIN], list(dict.fromkeys(often[PLAIN:] + drawn[PLAIN:]))
     weights, bias = fit(positive, plain, [])
-    worst = np.argsort(-Machine(weights, bias, 1.0, 0.0).decide(pool), kind="stable")[:PLAIN] if pool else []
+    machine = Machine(weights, bias, 1.0, 0.0)
+    decided = np.concatenate([np.zeros(0), *(machine.decide(pool[k : k + BLOCK]) for k in range(0, len(pool), BLOCK))])
+    worst = np.argsort(-decided, kind="stable")[:PLAIN]
     weights, bias = fit(positive, plain, [pool[i] for i in worst])
+    common.give_back()
     return calibrated(Machine(weights, bias, 1.0, 0.0), sample)
 
 

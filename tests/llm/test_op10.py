@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -41,6 +42,30 @@ def test_folding_is_the_nystrom_machine():
     assert (machine.decide(INSULTS) > 0).all() and (machine.decide(["bakelo", "reno", "kelomi"]) < 0).all()
 
 
+def random_terms(n, seed):
+    draw = random.Random(seed)
+    return ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(3, 12))) for _ in range(n)]
+
+
+def test_training_holds_few_rows_at_once():
+    positive, plain, hard = random_terms(100, 1), random_terms(op.PLAIN * 2, 2), random_terms(op.PLAIN, 3)
+    tracemalloc.start()
+    try:
+        op.fit(positive, plain, hard)
+        assert tracemalloc.get_traced_memory()[1] < 150e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_rows_held_do_not_change_the_machine(monkeypatch):
+    terms = random_terms(20, 4), random_terms(300, 5), random_terms(100, 6)
+    weights, bias = op.fit(*terms)
+    monkeypatch.setattr(op, "ROWS", 7)
+    monkeypatch.setattr(op, "BLOCK", 13)
+    again, other = op.fit(*terms)
+    assert again == pytest.approx(weights, abs=1e-9) and other == pytest.approx(bias, abs=1e-9)
+
+
 def test_long_terms_empty_and_spelt_words():
     weights, bias = op.fit(INSULTS, ["bakelo", "misuta", "reno", "vidu"], [])
     machine = op.Machine(weights, bias, 4.0, 0.0)
