@@ -32,14 +32,14 @@ def _written(spark, name: str, **sheets):
 @register("src04_manifest_workbook", f"WITH {_MANIFEST} SELECT manifest_row, is_supported, flag AS bandera_source, match_seq, match_name || '|' || match_size || '|' || match_seq AS control_key FROM n")
 def manifest_workbook(spark, sf_dir):
     path = _written(spark, "manifest.xlsx", Hoja1=_manifest(spark, sf_dir).orderBy("ordinal").drop("ordinal"))
-    return C.normal_manifest(office.read_workbook(spark, path), "ordinal").select("manifest_row", "is_supported", "bandera_source", "match_seq", "control_key")
+    return C.normal_manifest(office.read_workbook(spark, path, None), "ordinal").select("manifest_row", "is_supported", "bandera_source", "match_seq", "control_key")
 
 
 @register("src05_snk05_vendor_workbook", f"WITH {_VENDORS} SELECT core AS vendor_name_core, rfc, count(*) AS copies FROM v, (SELECT unnest([1, 2])) GROUP BY ALL")
 def vendor_workbook(spark, sf_dir):
     """A list loaded from a workbook, stored in place of what was there, and then added once more."""
     path = _written(spark, "list.xlsx", Hoja=_raw(spark, sf_dir).orderBy("ordinal").drop("ordinal"))
-    loaded, stored = S.prepared(office.read_workbook(spark, path), "ordinal"), _place(spark, "suppliers")
+    loaded, stored = S.prepared(office.read_workbook(spark, path, None), "ordinal"), _place(spark, "suppliers")
     files.store_suppliers(loaded.limit(0), stored)
     files.store_suppliers(loaded, stored)
     files.store_suppliers(loaded, stored, replace=False)

@@ -2,6 +2,7 @@
 
 import io
 import re
+import tracemalloc
 import zipfile
 
 import pytest
@@ -26,6 +27,31 @@ def test_round_trip(spark, tmp_path):
         office.read_workbook(spark, path, 2)
 
 
+def test_rows_beyond_a_sheet_go_on_in_the_next(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(office, "MOST_ROWS", 4)
+    path = f"file:{tmp_path}/a.xlsx"
+    office.write_workbook({"Uno": spark.range(7).select("id", (F.col("id") * 2).alias("twice")).orderBy("id")}, path)
+    assert [tuple(r) for r in office.read_workbook(spark, path, None).orderBy("ordinal").collect()] == [(i, str(i), str(2 * i)) for i in range(7)]
+    assert [r.id for r in office.read_workbook(spark, path, 2).collect()] == ["6"]
+
+
+def test_cells_are_held_some_at_a_time(monkeypatch):
+    def peak(rows):
+        raw = office.workbook_bytes({"S": (["a", "b"], ((i, f"value {i}") for i in range(rows)))})
+        tracemalloc.start()
+        n = sum(b.num_rows for b in office.cell_batches("x", raw))
+        high = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == 2 * rows + 2
+        return high
+
+    monkeypatch.setattr(office, "CELLS_AT_ONCE", 1000)
+    monkeypatch.setattr(office, "MOST_HELD", 1000)
+    assert peak(20_000) - peak(5_000) < 15_000 * 100  # bytes a row, a fraction of what its cells take
+    whole = office.workbook_bytes({"S": (["a"], [(i,) for i in range(3000)])})
+    assert list(office.cell_batches("x", whole[:-30])) == []
+
+
 def book(sheet, shared="", styles=""):
     out, ns = io.BytesIO(), f'xmlns="{office.MAIN[1:-1]}"'
     with zipfile.ZipFile(out, "w") as z:
