@@ -88,7 +88,12 @@ def _contained(names: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def matched_by_name(names: DataFrame, vendors: DataFrame) -> DataFrame:
-    """The supplier of each of ``names (key, name)``: ``key, vendor_id, vendor_name, rfc, score, strategy``; only those found.
+    """The supplier of each of ``names (key, name)``: ``key, vendor_id, vendor_name, rfc, score, strategy``; only those found."""
+    return names.select("key", "name").join(matched_names(names, vendors), "name").select("key", "vendor_id", "vendor_name", "rfc", "score", "strategy")
+
+
+def matched_names(names: DataFrame, vendors: DataFrame) -> DataFrame:
+    """The supplier of each different one of ``names (name)``: ``name, vendor_id, vendor_name, rfc, score, strategy``; only those found.
 
     Equal normal names, then equal core names, then the most similar core name of the suppliers with the
     same first word; where no supplier has it, of all, by grams in place of all pairs. Names are joined once each, however often they occur.
@@ -121,7 +126,7 @@ def matched_by_name(names: DataFrame, vendors: DataFrame) -> DataFrame:
         F.when(F.col("by_name").isNotNull(), 1.0).when(F.col("by_core").isNotNull(), 0.98).otherwise(F.col("fuzzy.score")).alias("score"),
         F.when(F.col("by_name").isNotNull(), "exact_normalized_name").when(F.col("by_core").isNotNull(), "exact_core_name").otherwise("fuzzy_core_name").alias("strategy"),
     ).where("v IS NOT NULL")
-    return names.select("key", "name").join(asked.join(result, "normal"), "name").select("key", F.col("v.id").alias("vendor_id"), "v.vendor_name", "v.rfc", "score", "strategy")
+    return asked.join(result, "normal").select("name", F.col("v.id").alias("vendor_id"), "v.vendor_name", "v.rfc", "score", "strategy")
 
 
 def filled(documents: DataFrame, vendors: DataFrame) -> DataFrame:
@@ -137,6 +142,9 @@ def filled(documents: DataFrame, vendors: DataFrame) -> DataFrame:
 
 # suppliers from paths
 
+#: Segments that say nothing and are broadcast at most.
+MOST_IDLE = 1000
+
 
 def path_segments(path: Column) -> Column:
     """Folders from the inside out, then the file's name without extension."""
@@ -175,15 +183,24 @@ def from_paths(paths: DataFrame, vendors: DataFrame) -> DataFrame:
 
     An identifier in any segment comes first, else the first segment whose name is found.
     """
-    parts = paths.select("key", F.posexplode(path_segments(F.col("path"))).alias("pos", "segment")).withColumn("candidate", clean_segment(F.col("segment")))
-    ids = parts.withColumn("found", taxid.canonical(fields.tax_id(F.col("candidate")))).where("found IS NOT NULL")
-    ids = ids.groupBy("key").agg(F.min_by("found", "pos").alias("found"))
+    parts = paths.select("key", F.posexplode(path_segments(F.col("path"))).alias("pos", "segment")).withColumn("candidate", clean_segment(F.col("segment"))).drop("segment")
+    # each different segment is read once, as folders recur in most paths
+    read = parts.groupBy("candidate").agg(F.count("*").alias("n"))
+    read = read.withColumns({"found": taxid.canonical(fields.tax_id(F.col("candidate"))), "normal": fields.match_name(F.col("candidate"))})
+    read = settled(read.select("candidate", "n", "found", may_be_supplier(F.col("normal")).alias("named")))
+    says = F.col("found").isNotNull() | F.col("named")
+    # the commonest of those that say nothing need not be dealt out by their value
+    idle = read.where(~says).orderBy(F.desc("n")).limit(MOST_IDLE).select("candidate")
+    parts = parts.join(F.broadcast(idle), "candidate", "left_anti").join(read.where(says).select("candidate", "found", "named"), "candidate")
+    first_id = F.min_by("found", F.when(F.col("found").isNotNull(), F.col("pos"))).alias("found")
+    rows = settled(parts.groupBy("key").agg(first_id, F.collect_list(F.when(F.col("named"), F.struct("pos", "candidate"))).alias("names")))
     known = _first_by(vendors, "rfc_normalized")
+    ids = rows.where("found IS NOT NULL").select("key", "found")
     by_id = ids.join(known, taxid.match_key(F.col("found")) == F.col("k"), "left").select(
         "key", F.col("found").alias("rfc"), F.col("v.vendor_name").alias("nombre_proveedor"), F.col("found").alias("candidate"), F.lit("path_rfc").alias("strategy"), F.lit(None).cast("double").alias("score")
     )
-    names = parts.withColumn("normal", fields.match_name(F.col("candidate"))).where(may_be_supplier(F.col("normal")))
-    names = names.join(ids.select("key"), "key", "left_anti")
-    hits = matched_by_name(names.select(F.struct("key", "pos", "candidate").alias("key"), F.col("candidate").alias("name")), vendors)
-    first = hits.groupBy(F.col("key.key").alias("key")).agg(F.min_by(F.struct("rfc", F.coalesce("vendor_name", "key.candidate").alias("nombre_proveedor"), F.col("key.candidate").alias("candidate"), F.concat(F.lit("path_name:"), "strategy").alias("strategy"), "score"), F.col("key.pos")).alias("r"))
+    names = rows.where("found IS NULL").select("key", F.inline("names")).withColumnRenamed("candidate", "name")
+    hits = names.join(matched_names(names, vendors), "name")
+    said = F.struct("rfc", F.coalesce("vendor_name", "name").alias("nombre_proveedor"), F.col("name").alias("candidate"), F.concat(F.lit("path_name:"), "strategy").alias("strategy"), "score")
+    first = hits.groupBy("key").agg(F.min_by(said, "pos").alias("r"))
     return by_id.unionByName(first.select("key", "r.*"))

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,23 @@ def test_paths(spark):
     assert got == {1: ("ABC850101XY1", "path_name:exact_core_name"), 2: ("ABC850101XY1", "path_rfc")}
 
 
+def test_paths_read_each_different_segment_once(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(texts: pd.Series) -> pd.Series:
+        read.add(len(texts))
+        return texts.map(lambda t: "ABC850101XY1" if "RFC" in t else None)
+
+    monkeypatch.setattr(fields, "tax_id", counted)
+    v = vendors.prepared(spark.createDataFrame([(1, "Lacteos Bravo SA de CV", "ABC850101XY1")], "ordinal int, proveedor string, rfc string"), "ordinal")
+    where = ["'/data/RFC x/Lacteos Bravo/0001.pdf'", "'/data/Lacteos Bravo/Otro Nombre/0001.pdf'", "'/data/2024/0001.pdf'"]
+    paths = spark.range(600).selectExpr("id AS key", f"element_at(array({', '.join(where)}), CAST(id % 3 AS INT) + 1) AS path")
+    got = {r.key: (r.rfc, r.candidate, r.strategy) for r in vendors.from_paths(paths, v).collect()}
+    assert got == {k: ("ABC850101XY1", "ABC850101XY1", "path_rfc") if k % 3 == 0 else ("ABC850101XY1", "Lacteos Bravo", "path_name:exact_core_name") for k in range(600) if k % 3 < 2}
+    assert 0 < read.value <= 12
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     for name, body in (("a/X.PDF", b"1234"), ("a/b/x.pdf", b"5678"), ("a/n", b"0")):
