@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import fields, taxid
 from ..functions import text as T
+from ..functions.nearest import Names
 from ..session import settled
 
 
+#: Names that ask a copy of a block's names at most, until there is a copy for each task.
+NAMES_A_COPY = 1000
+
+
 def prepared(raw: DataFrame, ordinal: str) -> DataFrame:
     """Rows of a supplier list with their keys, without empty ones, the first of each (name, identifier).
 
@@ -43,17 +51,6 @@ def _first_by(vendors: DataFrame, key: str) -> DataFrame:
     return vendors.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(F.col(key).alias("k")).agg(F.min_by(F.struct("id", "vendor_name", "rfc"), "id").alias("v"))
 
 
-def _may_reach(a: Column, b: Column) -> Column:
-    """Whether names with the same first word may be similar enough, by their lengths; false only where they cannot.
-
-    A ratio is at most twice the shorter length over both. Without containment both ratios have to make up for it.
-    """
-    shorter, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
-    within = F.contains(a, b) | F.contains(b, a)
-    bound = lambda *given: (V.LEAST_SIMILARITY - sum(V.SIMILARITY[k] for k in given)) / (V.SIMILARITY["ratio"] + V.SIMILARITY["token_sort"]) - 1e-9
-    return (2 * shorter >= bound("same_first", "token_set") * both) | (within & (2 * shorter >= bound("same_first", "token_set", "contains") * both))
-
-
 def _gram_length(n: Column) -> Column:
     """The largest power of two that is at most half of ``n``."""
     return F.call_function("shiftleft", F.lit(1), F.length(F.bin(n)) - 2)
@@ -87,6 +84,35 @@ def _contained(names: DataFrame, others: DataFrame) -> DataFrame:
     return longer.unionByName(less)
 
 
+def _nearest(open_: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``core, other, score``: of ``blocks (word, other)`` the most similar to each of ``open_ (word, core, least)`` with the same first word.
+
+    A block's names are copied for every so many that ask, over no more tasks than a shuffle has; one block's names are held at once.
+    """
+    parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = open_.select("word", "core", "least").distinct()
+    copies = asked.groupBy("word").agg(F.least(F.ceil(F.count("*") / NAMES_A_COPY), F.lit(parts)).cast("int").alias("copies"))
+    listed = blocks.join(copies, "word").select("word", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("double").alias("least"), F.col("other").alias("name"))
+    asking = asked.join(copies, "word").select("word", F.pmod(F.hash("core"), F.col("copies")).alias("copy"), "least", F.col("core").alias("name"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, listed, names = None, [], None
+        for batch in batches:
+            found = []
+            for word, copy, least, name in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != (word, copy):
+                    block, listed, names = (word, copy), [], None
+                if least is None:  # these come first
+                    listed.append(name)
+                else:
+                    names = names or Names(listed)
+                    found += [(name, *hit) for hit in names.nearest(name, least)]
+            columns = list(zip(*found)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.float64()))], ["core", "other", "score"])
+
+    return listed.unionByName(asking).repartition(parts, "word", "copy").sortWithinPartitions("word", "copy", "least").mapInArrow(run, "core string, other string, score double")
+
+
 def matched_by_name(names: DataFrame, vendors: DataFrame) -> DataFrame:
     """The supplier of each of ``names (key, name)``: ``key, vendor_id, vendor_name, rfc, score, strategy``; only those found."""
     return names.select("key", "name").join(matched_names(names, vendors), "name").select("key", "vendor_id", "vendor_name", "rfc", "score", "strategy")
@@ -108,15 +134,15 @@ def matched_names(names: DataFrame, vendors: DataFrame) -> DataFrame:
     word = lambda c: F.split(F.col(c), " ")[0]
     blocks = _first_by(vendors, "vendor_name_core").select(F.col("k").alias("other"), "v", word("k").alias("word"))
     everyone = vendors.select(F.coalesce("vendor_name_core", "vendor_name_normalized").alias("other"), F.struct("id", "vendor_name", "rfc").alias("v")).where("other <> ''")
-    open_ = both.where("open").select("normal", "core", word("core").alias("word"))
-    near = open_.join(blocks, "word").where(_may_reach(F.col("core"), F.col("other"))).select("normal", "core", "other", "v")
+    least = F.when(F.size(F.split("core", " ")) <= 2, V.SHORT_NAME_MIN).otherwise(V.LONG_NAME_MIN)
+    open_ = both.where("open").select("normal", "core", word("core").alias("word"), least.alias("least"))
+    near = open_.join(_nearest(open_, blocks), "core").join(blocks.select("other", "v"), "other").select("normal", "core", "score", "v")
     rest = open_.join(blocks.select("word").distinct(), "word", "left_anti").select("normal", "core")
-    # dealt by name, so that the pairs of a popular first word are scored in many tasks; a fixed number keeps small inputs from meeting in one
+    # dealt by name, so that pairs are scored in many tasks; a fixed number keeps small inputs from meeting in one
     parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = near.unionByName(_contained(rest, everyone)).repartition(parts, "normal", "core")
-    scored = pairs.withColumn("score", fields.similarity(F.col("core"), F.col("other"), V.LEAST_SIMILARITY))
-    least = F.when(F.size(F.split("core", " ")) <= 2, V.SHORT_NAME_MIN).otherwise(V.LONG_NAME_MIN)
-    best = scored.groupBy("normal", "core").agg(F.max(F.struct(F.col("score"), (-F.col("v.id")).alias("o"), "v")).alias("b"))
+    pairs = _contained(rest, everyone).repartition(parts, "normal", "core")
+    far = pairs.select("normal", "core", fields.similarity(F.col("core"), F.col("other"), V.LEAST_SIMILARITY).alias("score"), "v")
+    best = near.unionByName(far).groupBy("normal", "core").agg(F.max(F.struct(F.col("score"), (-F.col("v.id")).alias("o"), "v")).alias("b"))
     best = best.where((F.col("b.score") > 0) & (F.col("b.score") >= least)).select("normal", F.struct("b.v", F.bround("b.score", 4).alias("score")).alias("fuzzy"))
     found = both.join(best, "normal", "left")
     vendor = F.coalesce("by_name", "by_core", "fuzzy.v")

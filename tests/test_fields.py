@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import candidates as C
-from folioflow.functions import doctype, fields, quality, taxid
+from folioflow.functions import doctype, fields, nearest, quality, taxid
 from folioflow.functions import text as T
 
 
@@ -164,3 +164,18 @@ def test_similarity(a, b, least, most):
 def test_token_ratios():
     assert C.ratio("abcd", "abxd") == 0.75 and C.token_sort("b a", "a b") == 1.0
     assert C.token_set("fuzzy was a bear", "fuzzy fuzzy was a bear") == 1.0 and C.token_set("a", "") == 0.0
+
+
+def test_nearest_equals_comparison_with_all_and_makes_few(monkeypatch):
+    rng, places = random.Random(3), ("MONTERREY", "GUADALUPE", "HIDALGO", "ZARAGOZA", "GRUPO")
+    listed = sorted({f"GRUPO {rng.choice(places)} {''.join(rng.choices('QWERTY', k=rng.randint(1, 5)))}{rng.choice(['', ' GRUPO'])}" for _ in range(1500)})
+    names, made, plain = nearest.Names(listed), [], C.similarity
+    monkeypatch.setattr(nearest, "similarity", lambda *a: made.append(a) or plain(*a))
+    asked = [x[:-1] for x in listed[::25]] + [x[:8] + "X" + x[9:] for x in listed[::25]] + [x + " GRUPO QW" for x in listed[::50]] + ["GRUPO", "GRUPO Z"]
+    asked = [x.strip() for x in asked if x.strip() not in names.all]
+    for name in asked:
+        scores = {x: plain(name, x) for x in listed}
+        high = max(scores.values())
+        found = [hit for hit in names.nearest(name, 0.82) if hit[1] >= 0.82]
+        assert sorted(found) == sorted((x, s) for x, s in scores.items() if s == high and high >= 0.82)
+    assert len(made) < len(asked) * len(listed) / 20 and nearest.Names([]).nearest("GRUPO", 0.82) == []
