@@ -124,8 +124,8 @@ def matched_names(names: DataFrame, vendors: DataFrame) -> DataFrame:
     Equal normal names, then equal core names, then the most similar core name of the suppliers with the
     same first word; where no supplier has it, of all, by grams in place of all pairs. Names are joined once each, however often they occur.
     """
-    # each name as it was written is brought to its form once
-    asked = settled(names.where("name IS NOT NULL").select("name").distinct().withColumn("normal", fields.match_name(F.col("name"))).where("normal <> ''"))
+    # each name as it was written is brought to its form once; a condition on the form comes after, else it goes below the distinct and takes the form of every row
+    asked = settled(names.where("name IS NOT NULL").select("name").distinct().withColumn("normal", fields.match_name(F.col("name")))).where("normal <> ''")
     forms = asked.select("normal").distinct().withColumn("core", fields.core_name(F.col("normal")))
     exact = forms.join(_first_by(vendors, "vendor_name_normalized"), F.col("normal") == F.col("k"), "left").select("normal", "core", F.col("v").alias("by_name"))
     both = exact.join(_first_by(vendors, "vendor_name_core"), F.col("core") == F.col("k"), "left").select("normal", "core", "by_name", F.col("v").alias("by_core"))

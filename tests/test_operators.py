@@ -102,6 +102,20 @@ def test_match_equals_comparison_with_all(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_match_takes_the_form_of_each_different_name_once(spark, monkeypatch):
+    v = vendors.settled(vendors.prepared(spark.createDataFrame([(1, "Grupo Norte SA", None)], "ordinal int, proveedor string, rfc string"), "ordinal"))
+    read = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(texts: pd.Series) -> pd.Series:
+        read.add(len(texts))
+        return texts.str.upper()
+
+    monkeypatch.setattr(fields, "match_name", counted)
+    asked = spark.range(900).selectExpr("id AS key", "element_at(array('Grupo Norte', 'grupo norte', 'Nada De Nada'), CAST(id % 3 AS INT) + 1) AS name")
+    assert {r.key for r in vendors.matched_by_name(asked, v).collect()} == {k for k in range(900) if k % 3 < 2} and 0 < read.value <= 6
+
+
 def test_match_stops_at_exact_hits_without_identifier(spark):
     v = vendors.prepared(spark.createDataFrame([(1, "Grupo Norte SA", None), (2, "Alimentos Industriales Norta SA", "ABC850101XY1")], "ordinal int, proveedor string, rfc string"), "ordinal")
     asked = spark.createDataFrame([(1, "grupo norte"), (2, "Alimentos Industriales Nortz"), (3, None), (4, "")], "key int, name string")
